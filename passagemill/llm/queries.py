@@ -1,0 +1,37 @@
+"""Queries of the operators of this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from passagemill.llm import encode, packing, token_budget
+from passagemill.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p2_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and tokens per source, language and domain of documents, per source, scheme and language of passages."""
+    return token_budget.token_budget(table(spark, folder, "documents"), table(spark, folder, "chunk"))
+
+
+def p2_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document."""
+    return encode.count_tokens(table(spark, folder, "documents"), ["doc_id"])
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of each document."""
+    return encode.encode_texts(table(spark, folder, "documents"), ["doc_id"])
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of 4,096 tokens."""
+    documents = table(spark, folder, "documents")
+    return packing.pack_items(encode.count_tokens(documents, ["doc_id"]), n_items=documents.count())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p7_ids, p8_containers)}
+SQL: dict[str, str] = {}
