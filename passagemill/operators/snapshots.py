@@ -130,8 +130,12 @@ _PEELED = ["table_name", "seq", "bucket", "ok", "key64", "val64", "sign"]
 _PEELED_TYPES = "table_name string, seq int, bucket long, ok boolean, key64 long, val64 long, sign long"
 
 
-def _difference(records: DataFrame, cells: int) -> DataFrame:
-    """Subtracted and peeled tables of all buckets of ``records``, which carry ``last``, the last snapshot's number."""
+def _difference(records: DataFrame, cells: int, only: DataFrame | None = None) -> DataFrame:
+    """Subtracted and peeled tables of all buckets of ``records``, which carry ``last``, the last snapshot's number.
+
+    ``only`` names the buckets wanted. A record takes part in the pair of its own snapshot and in the next one, so the
+    records that are left for a failed pair also leave half-filled tables of its neighbours, which must not be peeled.
+    """
     sides = F.explode(
         F.filter(
             F.array(
@@ -155,6 +159,8 @@ def _difference(records: DataFrame, cells: int) -> DataFrame:
         )
         .where("n <> 0 or keys <> 0 or vals <> 0")
     )
+    if only is not None:
+        sketch = sketch.join(only, ["table_name", "seq", "bucket"], "left_semi")
     return sketch.groupBy("table_name", "seq", "bucket").applyInPandas(_peeler(cells), _PEELED_TYPES)
 
 
@@ -179,25 +185,19 @@ def snapshot_changes(states: DataFrame, cells: int = CELLS, records_per_bucket:
     records = states.join(F.broadcast(numbered), ["table_name", "snapshot_no"]).withColumn(
         "bucket", F.pmod(F.xxhash64("key64", F.lit(7)), F.lit(buckets))
     )
-    todo, parts, full = records, [], None
+    todo, failed, pairs = records, None, None
     for round_no in range(ROUNDS):
-        peeled = cut_lineage(_difference(todo, cells * ENLARGE**round_no))
-        parts.append(peeled.where("ok").drop("ok", "bucket"))
+        peeled = cut_lineage(_difference(todo, cells * ENLARGE**round_no, failed))
+        found = peeled.where("ok").drop("ok", "bucket")
+        pairs = found if pairs is None else pairs.union(found)
         failed = peeled.where("not ok").select("table_name", "seq", "bucket")
         if failed.isEmpty():
             break
         # records of the later snapshot of a failed pair, and of the one before it
         both = failed.union(failed.select("table_name", (F.col("seq") - 1).alias("seq"), "bucket")).distinct()
         todo = records.join(both, ["table_name", "seq", "bucket"], "left_semi")
-        if round_no == ROUNDS - 1:
-            full = _compare_in_full(todo, failed)
-        else:
-            parts[-1] = parts[-1].where(F.col("key64").isNotNull())
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.union(p)
-    if full is not None:
-        pairs = pairs.union(full)
+    else:
+        pairs = pairs.unionByName(_compare_in_full(todo, failed))
     side = pairs.select(
         "table_name",
         F.col("seq").alias("pair"),
@@ -235,4 +235,9 @@ def _compare_in_full(records: DataFrame, failed: DataFrame) -> DataFrame:
         "table_name", (F.col("seq") + 1).alias("seq"), "key64", "val64"
     )
     both = new.withColumn("sign", F.lit(1).cast("long")).union(old.withColumn("sign", F.lit(-1).cast("long")))
-    return both.groupBy("table_name", "seq", "key64", "val64").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    return (
+        both.groupBy("table_name", "seq", "key64", "val64")
+        .agg(F.sum("sign").alias("sign"))
+        .where("sign <> 0")
+        .select("table_name", "seq", "key64", "val64", "sign")
+    )
