@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagemill.llm import encode, packing, token_budget
+from passagemill.llm import encode, near_duplicates, packing, splitting, token_budget
+from passagemill.operators.snapshots import latest_rows
 from passagemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,40 @@ def p2_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return encode.count_tokens(table(spark, folder, "documents"), ["doc_id"])
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_texts(table(spark, folder, "raw_doc"), ["raw_id"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of pages that are too long for one passage: those that the operator cut."""
+    return _pieces(spark, folder).where("n_pieces > 1").select("raw_id", "section_no").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All passages of all pages."""
+    return _pieces(spark, folder)
+
+
+def _last_passages(spark: SparkSession, folder: str, keep: list[str]) -> DataFrame:
+    """Current rows of the last snapshot of ``chunk``."""
+    chunk = table(spark, folder, "chunk")
+    last = chunk.agg(F.max("snapshot_no").alias("snapshot_no"))
+    rows = chunk.join(F.broadcast(last), "snapshot_no", "left_semi")
+    return latest_rows(rows, ["chunk_id"], F.try_to_timestamp("fetched_at"), keep)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of current passages of the last snapshot that say nearly the same."""
+    found = near_duplicates.near_duplicates(_last_passages(spark, folder, ["text"]), "chunk_id")
+    return near_duplicates.near_duplicate_pairs(*found, "chunk_id")
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, copies and links of each current passage of the last snapshot."""
+    found = near_duplicates.near_duplicates(_last_passages(spark, folder, ["text"]), "chunk_id")
+    return near_duplicates.near_duplicate_classes(*found, "chunk_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return encode.encode_texts(table(spark, folder, "documents"), ["doc_id"])
@@ -33,5 +68,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(encode.count_tokens(documents, ["doc_id"]), n_items=documents.count())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p7_ids, p8_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p7_ids, p8_containers)}
 SQL: dict[str, str] = {}
