@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagemill.llm import encode, near_duplicates, packing, splitting, token_budget
+from passagemill.llm import encode, near_duplicates, packing, splitting, template_residue, token_budget, vector_neighbours
 from passagemill.operators.snapshots import latest_rows
 from passagemill.sources.tables import table
 
@@ -57,6 +57,20 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(*found, "chunk_id")
 
 
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_neighbours.neighbours(table(spark, folder, "chunk_vector"), "chunk_id", "embedding")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five most similar ones of the other, at a cosine of 0.80 or more."""
+    return vector_neighbours.neighbour_pairs(_neighbours(spark, folder), "chunk_id")
+
+
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The most similar other chunks of each chunk, with score and rank."""
+    return _neighbours(spark, folder)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return encode.encode_texts(table(spark, folder, "documents"), ["doc_id"])
@@ -68,5 +82,15 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(encode.count_tokens(documents, ["doc_id"]), n_items=documents.count())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold template residue, stand-in copy, error messages or script notices in place of content."""
+    return template_residue.residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Those documents with the score of their most suspect sentence."""
+    return template_residue.residue(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
