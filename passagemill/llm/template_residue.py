@@ -55,15 +55,18 @@ _SEEDS = {
     r"|description of [^.\n]{0,40} to follow|(?:copy|text|content|details) to (?:come|follow)|filler text|layout review only|texto de relleno|texto de ejemplo|texto simulado|platzhalter|blindtext|beispieltext|mustertext|texte (?:d'attente|à remplacer|de remplacement|factice|de remplissage|d'exemple)|नमूना पाठ|यहाँ पाठ",
     "filler": r"^\s*(?:x{2,}\s*){4,}$|^\s*(?:[asdfghjkl]{1,12} +){6,}[asdfghjkl]{1,12}\s*$|^\s*(?:[qwertyuiop]{1,12} +){8,}[qwertyuiop]{1,12}\s*$|\b(?P<again>text|test|content|foo bar|copy|blah|words?|dummy|sample|filler|placeholder)(?:[ /,]+(?P=again)){3,}",
     "field": r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{0,60}%\}|<%[^<>\n]{0,60}%>|[$#]\{[^{}\n]{1,40}\}|%\(\w+\)[sd]|\[\[[^\[\]\n]{1,40}\]\]|<<[^<>\n]{1,40}>>|«\w+_\w+»|@@\w+@@|\b__\w+__\b|%[a-z]+(?:_[a-z]+)+%"
-    r"|(?<![\w{$#])\{(?:\w+(?:_\w+)*|\d)\}|\[●\]|_{4,}|\${2,}|\bxx\.xx\b|\bdd/mm/yyyy\b|\byyyy-mm-dd\b|\[object object\]|<(?:value )?missing[^<>\n]{0,20}>|<value [^<>\n]{1,20}>|\bnan\b|\bundefined\b|(?<![\w%])%[sd]\b"
-    r"|[<\[](?:insert|enter|your|add|todo|tbd|tbc)\b[^<>\[\]\n]{0,40}[>\]]|\[[^\[\]\n]{1,50} (?:to be (?:added|confirmed|supplied)|here)\]|[<\[][a-z]+(?:_[a-z]+)+[>\]]|\[[^\[\]\n]{0,20}का नाम\]",
+    r"|(?<![\w{$#])\{(?:\w+(?:_\w+)*|\d)\}|\[●\]|_{4,}|\${2,}|\bxx\.xx\b|\bdd/mm/yyyy\b|\byyyy-mm-dd\b|\[object object\]|<(?:value )?missing[^<>\n]{0,20}>|<value [^<>\n]{1,20}>|\bnan\b|(?<!\b(?:was|is|are|were|be|been|as|remains?|left) )\bundefined\b(?! (?:for|in|by|until|under)\b)|(?<![\w%])%[sd]\b"
+    r"|[<\[](?:insert|enter|your|add|todo|tbd|tbc)\b[^<>\[\]\n]{0,40}[>\]]|\[[^\[\]\n]{1,50} (?:to be (?:added|confirmed|supplied)|here)\]|[<\[][a-z]+(?:_[a-z]+)+[>\]]|\[[^\[\]\n]{0,30}(?:का नाम|einfügen|eintragen|ergänzen|insertar|aquí|ici|à (?:compléter|renseigner|insérer|définir))\]"
+    r"|\[(?:nom|nombre|name|fecha|date|datum|importe|montant|betrag)\b[^\[\]\n]{0,40}\]|\((?:fill in|fill out|insert|enter|add|tbd|tbc|to be (?:added|confirmed))\b[^()\n]{0,40}\)",
 }
 _SEED = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in _SEEDS.items()), regex.I | regex.M)
 _QUOTES = "\"'`“”‘’„"
 _TOLD = regex.compile(r"\b(?:explains?|explained|phrase|says?|said|saw|seen|wrote|writes|calls?|called|designers?|means?|report|recorded|steps|leaflet|brochure|kept|sagt|nennt|dice|dijo|appelle|कहते)\b", regex.I)
+#: A sentence about a scheme tells of something that happened to it.
+_ABOUT = regex.compile(r"\b(?:of|for|from)\s+(?:[\w-]+\s+){1,4}fund\b", regex.I)
 #: A told message lies in a sentence at least this long; messages themselves are short.
 _TOLD_LENGTH = 70
-_CUE = regex.compile(r"script|404|50[0-4]|403|lorem|ipsum|placeholder|template|field|sample|copy|page|server|access|session|maintenance|unavailable|denied|insert|code|browser|cookie|[{}\[\]<>$#%_@`]", regex.I)
+_CUE = regex.compile(r"script|404|50[0-4]|403|lorem|ipsum|placeholder|template|field|sample|copy|page|server|access|session|maintenance|unavailable|denied|undefined|error|request|moved|human|insert|code|browser|cookie|[{}\[\]<>$#%_@`]", regex.I)
 
 
 def labelled_places(text: str) -> list[tuple[int, int]]:
@@ -83,7 +86,7 @@ def labelled_places(text: str) -> list[tuple[int, int]]:
             ends = [e for e in (text.find(x, b, stop if stop >= 0 else len(text)) for x in (". ", "! ", "? ", "। ")) if e >= 0]
             right = min(ends, default=stop if stop >= 0 else len(text))
             sentence = text[left:right]
-            told = len(sentence) >= _TOLD_LENGTH and bool(_TOLD.search(sentence)) or (a > 0 and text[a - 1] in "\"'`“‘„" and text[b : b + 2].strip(",. ")[:1] in tuple(_QUOTES))
+            told = len(sentence) >= _TOLD_LENGTH and bool(_TOLD.search(sentence) or _ABOUT.search(sentence)) or (a > 0 and text[a - 1] in "\"'`“‘„" and text[b : b + 2].strip(",. ")[:1] in tuple(_QUOTES))
         if not told:
             out.append((a, b))
     return out
@@ -97,7 +100,7 @@ def _word_features(token: str) -> list[int]:
     """Buckets of a word itself and of its parts of three characters."""
     word = _shape(token)
     out = [zlib.crc32(word.encode()) % BUCKETS]
-    if word[0].isalpha():
+    if len(word) > 3 and word[0].isalpha():
         padded = f"<{word}>"
         out += [zlib.crc32(b"part " + padded[i : i + 3].encode()) % BUCKETS for i in range(min(len(padded) - 2, 40))]
     return out
@@ -243,7 +246,7 @@ _MESSAGES = (
 _FIELDS = (
     "{{ name }}|{{nav_date}}|{{ scheme.name }}|${date}|${plan_type}|[[name]]|[[plan_type]]|<%= name %>|<%= nav_date %>|{% name %}|{% plan_type %}|#{name}|#{nav_date}|%(name)s|%(plan_type)s|%NAV_DATE%|%NAME%|@@NAME@@|@@PLAN_TYPE@@"
     "|__NAME__|__NAV_DATE__|{0}|{1}|{name}|{PLAN_TYPE}|<<name>>|<<plan_type>>|[●]|________|____|$$|[insert date]|[insert name]|[TODO figure]|[TODO]|<value missing>|<missing>|[object Object]|NaN%|NaN|undefined|DD/MM/YYYY|XX.XX%|XX"
-    "|«plan_name»|«name»|%s|%d|<INSERT NAME>|<INSERT NAV_DATE>|<plan_name>|<nav_date>|[FUND_NAME]|[NAV_DATE]|[Name to be added]|[to be confirmed]|[योजना का नाम]"
+    "|«plan_name»|«name»|%s|%d|<INSERT NAME>|<INSERT NAV_DATE>|<plan_name>|<nav_date>|[FUND_NAME]|[NAV_DATE]|[Name to be added]|[to be confirmed]|[Insert fund name here]|(fill in amount)|[Name einfügen]|[nom à compléter]|[insertar nombre]|$$PLAN$$|[योजना का नाम]"
 ).split("|")
 #: Plain sentences into which each field is set, and in which it is quoted; plain sentences of which a part is added;
 #: sentences of keys struck at random.
