@@ -38,11 +38,15 @@ LONG_WORDS = 6  # machine words of the long code
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and (dimension, bits) projection whose signs are the code of a vector."""
+    """Mean and (dimension, bits) projection whose signs are the code of a vector.
+
+    The principal directions are scaled to equal variance before they are turned: else the few directions that tell the
+    large clusters apart rule all bits, the codes of a cluster agree in most parts, and its vectors all meet.
+    """
     mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
     centred = sample - mean
-    _, directions = np.linalg.eigh(centred.T @ centred)
-    top = directions[:, ::-1][:, :bits]
+    spread, directions = np.linalg.eigh(centred.T @ centred / max(len(sample), 1))
+    top = directions[:, ::-1][:, :bits] / np.sqrt(np.maximum(spread[::-1][:bits], max(spread[-1], 1e-12) * 1e-3))
     rng = np.random.default_rng(5)
     turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
     flat = centred @ top
@@ -170,8 +174,8 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def code_bits(n: int) -> int:
-    """Bits of the learned code: SUBSTRINGS parts of about log2(n) bits each."""
-    return SUBSTRINGS * int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 30))
+    """Bits of the learned code: SUBSTRINGS parts of log2(n) bits each and two more, as each is filed many times."""
+    return SUBSTRINGS * int(np.clip(np.ceil(np.log2(max(n, 2))) + 2, 8, 30))
 
 
 def neighbours(df: DataFrame, item: str, vector: str, k: int = K, min_score: float = MIN_SCORE, dimension: int = DIMENSION, sample: int = SAMPLE) -> DataFrame:
