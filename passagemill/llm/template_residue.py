@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from passagemill.llm.encode import slices
 from passagemill.session import spread
 
-#: Texts that are labelled for fitting at most, and sentences without a cue that are fitted on at most.
-SAMPLE_TEXTS, SAMPLE_PLAIN = 20_000, 40_000
+#: Texts that are labelled for fitting, about; of their sentences without a cue, one in so many is fitted on.
+SAMPLE_TEXTS, PLAIN_SHARE = 6_000, 4
 #: Hash buckets of the weights; strength of the regularisation; weight of a positive sentence; fitting steps.
 BUCKETS, RIDGE, POSITIVE_WEIGHT, STEPS = 1 << 18, 0.3, 4.0, 40
 #: One host in so many is kept out of the fit.
@@ -53,13 +53,13 @@ _SEEDS = {
     r"|activer javascript|activez javascript|aktivieren sie (?:bitte )?(?:javascript|cookies)|activ[ea]r? javascript|habilit[ea]r? javascript|जावास्क्रिप्ट",
     "copy": r"\blorem\b|\bipsum\b|dummy (?:copy|text)|your (?:heading|title|text|headline|subtitle) (?:goes )?here|(?:sample|example) text|placeholder|click to edit|(?:replace|insert|type) (?:this|your) (?:paragraph|text|copy|headline)"
     r"|description of [^.\n]{0,40} to follow|(?:copy|text|content|details) to (?:come|follow)|filler text|layout review only|texto de relleno|texto de ejemplo|texto simulado|platzhalter|blindtext|beispieltext|mustertext|texte (?:d'attente|à remplacer|de remplacement|factice|de remplissage|d'exemple)|नमूना पाठ|यहाँ पाठ",
-    "filler": r"^\s*(?:x{2,}\s*){4,}$|^\s*(?:[asdfghjkl]{1,12} +){6,}[asdfghjkl]{1,12}\s*$|^\s*(?:[qwertyuiop]{1,12} +){8,}[qwertyuiop]{1,12}\s*$|\b(?P<again>text|test|content|foo bar|copy|blah|words?|dummy|sample|filler|placeholder)(?:[ /,]+(?P=again)){3,}",
+    "filler": r"^\s*(?:x{2,}\s*){4,}$|^\s*(?:[asdfghjkl]{1,12} +){6,}[asdfghjkl]{1,12}\s*$|^\s*(?:[qwertyuiop]{1,12} +){8,}[qwertyuiop]{1,12}\s*$|\b(?P<again>text|test|content|foo bar|foo|abc|asdf|qwerty|lorem ipsum|copy|blah|words?|dummy|sample|filler|placeholder)(?:[ /,]+(?P=again)){3,}",
     "field": r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{0,60}%\}|<%[^<>\n]{0,60}%>|[$#]\{[^{}\n]{1,40}\}|%\(\w+\)[sd]|\[\[[^\[\]\n]{1,40}\]\]|<<[^<>\n]{1,40}>>|«\w+_\w+»|@@\w+@@|\b__\w+__\b|%[a-z]+(?:_[a-z]+)+%"
     r"|(?<![\w{$#])\{(?:\w+(?:_\w+)*|\d)\}|\[●\]|_{4,}|\${2,}|\bxx\.xx\b|\bdd/mm/yyyy\b|\byyyy-mm-dd\b|\[object object\]|<(?:value )?missing[^<>\n]{0,20}>|<value [^<>\n]{1,20}>|\bnan\b|(?<!\b(?:was|is|are|were|be|been|as|remains?|left) )\bundefined\b(?! (?:for|in|by|until|under)\b)|(?<![\w%])%[sd]\b"
     r"|[<\[](?:insert|enter|your|add|todo|tbd|tbc)\b[^<>\[\]\n]{0,40}[>\]]|\[[^\[\]\n]{1,50} (?:to be (?:added|confirmed|supplied)|here)\]|[<\[][a-z]+(?:_[a-z]+)+[>\]]|\[[^\[\]\n]{0,30}(?:का नाम|einfügen|eintragen|ergänzen|insertar|aquí|ici|à (?:compléter|renseigner|insérer|définir))\]"
     r"|\[(?:nom|nombre|name|fecha|date|datum|importe|montant|betrag)\b[^\[\]\n]{0,40}\]|\((?:fill in|fill out|insert|enter|add|tbd|tbc|to be (?:added|confirmed))\b[^()\n]{0,40}\)",
 }
-_SEED = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in _SEEDS.items()), regex.I | regex.M)
+_SEED = {k: regex.compile(v, regex.M) for k, v in _SEEDS.items()}  # for lower-case text
 _QUOTES = "\"'`“”‘’„"
 _TOLD = regex.compile(r"\b(?:explains?|explained|phrase|says?|said|saw|seen|wrote|writes|calls?|called|designers?|means?|report|recorded|steps|leaflet|brochure|kept|sagt|nennt|dice|dijo|appelle|कहते)\b", regex.I)
 #: A sentence about a scheme tells of something that happened to it.
@@ -69,26 +69,37 @@ _TOLD_LENGTH = 70
 _CUE = regex.compile(r"script|404|50[0-4]|403|lorem|ipsum|placeholder|template|field|sample|copy|page|server|access|session|maintenance|unavailable|denied|undefined|error|request|moved|human|insert|code|browser|cookie|[{}\[\]<>$#%_@`]", regex.I)
 
 
+def lower(text: str) -> str:
+    """Lower-case form in which every character keeps its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _told(text: str, a: int, b: int) -> bool:
+    """Whether a message lies in a sentence that tells of it or quotes it."""
+    line = text.rfind("\n", 0, a) + 1
+    stop = text.find("\n", b)
+    stop = stop if stop >= 0 else len(text)
+    left = max(text.rfind(x, line, a) for x in (". ", "! ", "? ", "। "))
+    right = min((e for x in (". ", "! ", "? ", "। ") if (e := text.find(x, b, stop)) >= 0), default=stop)
+    sentence = text[line if left < 0 else left + 2 : right]
+    if len(sentence) >= _TOLD_LENGTH and (_TOLD.search(sentence) or _ABOUT.search(sentence)):
+        return True
+    return a > 0 and text[a - 1] in _QUOTES and text[b : b + 2].strip(",. ")[:1] in tuple(_QUOTES)
+
+
 def labelled_places(text: str) -> list[tuple[int, int]]:
     """Places of a text that hold a seed and neither quote nor explain it."""
-    out = []
-    for m in _SEED.finditer(text):
-        a, b = m.span()
-        if m["field"] is not None:
-            told = a > 0 and text[a - 1] in _QUOTES and b < len(text) and text[b] in _QUOTES
-        elif m["filler"] is not None:
-            told = False
-        else:
-            line = text.rfind("\n", 0, a) + 1
-            stop = text.find("\n", b)
-            left = max(text.rfind(x, line, a) for x in (". ", "! ", "? ", "। "))
-            left = line if left < 0 else left + 2
-            ends = [e for e in (text.find(x, b, stop if stop >= 0 else len(text)) for x in (". ", "! ", "? ", "। ")) if e >= 0]
-            right = min(ends, default=stop if stop >= 0 else len(text))
-            sentence = text[left:right]
-            told = len(sentence) >= _TOLD_LENGTH and bool(_TOLD.search(sentence) or _ABOUT.search(sentence)) or (a > 0 and text[a - 1] in "\"'`“‘„" and text[b : b + 2].strip(",. ")[:1] in tuple(_QUOTES))
-        if not told:
-            out.append((a, b))
+    out, low = [], lower(text)
+    for kind, pattern in _SEED.items():
+        for m in pattern.finditer(low):
+            a, b = m.span()
+            if kind == "field":
+                told = a > 0 and b < len(text) and text[a - 1] in _QUOTES and text[b] in _QUOTES
+            else:
+                told = kind != "filler" and _told(text, a, b)
+            if not told:
+                out.append((a, b))
     return out
 
 
@@ -148,11 +159,11 @@ def sentences(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
 
 
 def _buckets(tokens: list[str], title: bool) -> np.ndarray:
-    """All features of a sentence."""
+    """All features of a sentence, as 32-bit integers."""
     own = [b for t in tokens for b in _word_features(t)]
     h = np.array([_word_hash(t) for t in tokens], np.uint64)
     extra = [_BIAS, _LENGTH_BUCKETS[_length_class(np.array(len(tokens)))], *([_TITLE] if title else [])]
-    return np.concatenate([np.array(own, np.int64), _pair_buckets(h[:-1], h[1:]), np.array(extra, np.int64)])
+    return np.concatenate([own, _pair_buckets(h[:-1], h[1:]), extra]).astype(np.int32)
 
 
 @dataclass
@@ -162,12 +173,14 @@ class Classifier:
     held_out: dict[str, float]  # quality on sentences of hosts outside the fit
 
 
-def fit_logistic(rows: list[np.ndarray], label: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
-    """Weights of a ridge-regularised logistic regression over hashed features, by limited-memory BFGS."""
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
+def fit_logistic(flat: np.ndarray, size: np.ndarray, label: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Weights of a ridge-regularised logistic regression over hashed features, by limited-memory BFGS.
+
+    ``flat`` holds the buckets of all sentences one after the other, ``size`` how many each has.
+    """
     used, flat = np.unique(flat, return_inverse=True)
-    starts = np.r_[0, np.cumsum(size)[:-1]]
-    row = np.repeat(np.arange(len(rows)), size)
+    starts = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
     sign, weight = np.where(label, 1.0, -1.0), np.where(label, POSITIVE_WEIGHT, 1.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -209,111 +222,109 @@ def fit_logistic(rows: list[np.ndarray], label: np.ndarray, ridge: float = RIDGE
     return out
 
 
-def _sampled(documents: DataFrame, item: str, text: str, host: str, texts: int) -> DataFrame:
-    """(tokens, title, label, cue, held_out) of the sentences of at most about ``texts`` texts, chosen by hash."""
-    share = min(1.0, texts / max(documents.count(), 1))
-    chosen = F.pmod(F.xxhash64(F.col(item), F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
-    kept = F.pmod(F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")), F.lit(5)), F.lit(HELD_OUT)) == 0
-    rows = documents.where(chosen & F.col(text).isNotNull()).select(F.col(text).alias("text"), kept.alias("held_out"))
-    schema = "tokens array<string>, title boolean, label boolean, cue boolean, held_out boolean"
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for value, held in zip(*(c.to_pylist() for c in batch.columns)):
-                places = labelled_places(value)
-                for tokens, a, b, title in sentences(value):
-                    hit = any(x < b and a < y for x, y in places)
-                    cue = hit or bool(_CUE.search(value, a, b))
-                    if cue or zlib.crc32(f"{a} {value[:40]}".encode("utf-8", "surrogatepass")) % 4 == 0:
-                        out.append((tokens[:400], title, hit, cue, held))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.string())), *(pa.array(c, pa.bool_()) for c in columns[1:])], names=["tokens", "title", "label", "cue", "held_out"])
-
-    return spread(rows, "text").mapInArrow(label, schema)
-
-
 #: What the seeds look like, so that a small or one-sided sample holds each kind: whole sentences, and fields that are
 #: set into plain sentences of the sample.
 _MESSAGES = (
     "Error 404 : page not found|500 - Internal Server Error|502 Bad Gateway|503 Service Unavailable|403 Forbidden|504 Gateway Timeout|Access denied|Page not found|Too many requests|Your session has expired|Under maintenance , back shortly"
     "|Something went wrong|This page has moved or no longer exists|The page cannot be displayed|Database connection failed|Application error : stack trace follows|Request blocked|Checking that you are human|Seite nicht gefunden"
-    "|Zugriff verweigert|Página no encontrada|Acceso denegado|Page introuvable|Accès refusé|पृष्ठ नहीं मिला|सर्वर में त्रुटि हुई|Please enable JavaScript to view this page|JavaScript is disabled in your browser|Cookies and scripts must be allowed"
+    "|Zugriff verweigert|Página no encontrada|Acceso denegado|Page introuvable|Accès refusé|पृष्ठ नहीं मिला|सर्वर में त्रुटि हुई|{\"status\": \"error\", \"title\": \"Access denied\"}|<html><h1>Access denied</h1>|Please enable JavaScript to view this page|JavaScript is disabled in your browser|Cookies and scripts must be allowed"
     "|This site needs scripts to run|Veuillez activer JavaScript|Bitte aktivieren Sie JavaScript|Active JavaScript para ver esta página|जावास्क्रिप्ट चालू करें|noscript|Lorem ipsum dolor sit amet|Your heading here|Sample text goes here"
     "|Dummy copy for layout review only|Replace this paragraph|Click to edit this block|Caption placeholder|Short description to follow|Copy to come / copy to come / copy to come|text text text text text text|test test test test test"
-    "|content content content content|foo bar foo bar foo bar|xxxx xx xxxxx xxx xxxxxx xx|sdf kjh asdg hjkl fgh dsa lkj|Texto de relleno por sustituir|Platzhaltertext|Texte à remplacer|यहाँ नमूना पाठ आएगा"
+    "|content content content content|foo bar foo bar foo bar|abc abc abc abc abc abc|qwerty qwerty qwerty qwerty|blah blah blah blah|xxxx xx xxxxx xxx xxxxxx xx|sdf kjh asdg hjkl fgh dsa lkj|Texto de relleno por sustituir|Platzhaltertext|Texte à remplacer|यहाँ नमूना पाठ आएगा"
 ).split("|")
 _FIELDS = (
     "{{ name }}|{{nav_date}}|{{ scheme.name }}|${date}|${plan_type}|[[name]]|[[plan_type]]|<%= name %>|<%= nav_date %>|{% name %}|{% plan_type %}|#{name}|#{nav_date}|%(name)s|%(plan_type)s|%NAV_DATE%|%NAME%|@@NAME@@|@@PLAN_TYPE@@"
     "|__NAME__|__NAV_DATE__|{0}|{1}|{name}|{PLAN_TYPE}|<<name>>|<<plan_type>>|[●]|________|____|$$|[insert date]|[insert name]|[TODO figure]|[TODO]|<value missing>|<missing>|[object Object]|NaN%|NaN|undefined|DD/MM/YYYY|XX.XX%|XX"
     "|«plan_name»|«name»|%s|%d|<INSERT NAME>|<INSERT NAV_DATE>|<plan_name>|<nav_date>|[FUND_NAME]|[NAV_DATE]|[Name to be added]|[to be confirmed]|[Insert fund name here]|(fill in amount)|[Name einfügen]|[nom à compléter]|[insertar nombre]|$$PLAN$$|[योजना का नाम]"
 ).split("|")
-#: Plain sentences into which each field is set, and in which it is quoted; plain sentences of which a part is added;
-#: sentences of keys struck at random.
-FIELD_COPIES, QUOTED_COPIES, FRAGMENTS, MASHED_COPIES = 25, 8, 8_000, 40
+#: What looks like a field at first sight and is ordinary writing.
+_ORDINARY = "[1]|[4]|[A]|[B]|[sic]|(a/b)|(see below)|x < y|a > b|<Annex>|{A, B}|{Growth, IDCW}|100%|5 %|$5|#3|* 2|name_of@mail.example|§ 4|&amp;|\"so called\"|'as is'|**note**".split("|")
+#: Of the plain sentences that are fitted on, one in so many also comes with a field set into it, with the same kind of
+#: field in quotes (as in texts that explain it), with ordinary signs, and torn. Sentences of keys struck at random, of each kind.
+WITH_FIELD, WITH_QUOTED, WITH_ORDINARY, TORN, MASHED = 3, 8, 10, 3, 60
+
+
+def _variants(tokens: list[str], seed: int) -> Iterator[tuple[list[str], bool]]:
+    """Further sentences to fit on that are made of a plain one, with their labels."""
+    rng = np.random.default_rng(seed)
+    at = int(rng.integers(len(tokens)))
+    for share, quote in ((WITH_FIELD, ""), (WITH_QUOTED, "\"'`"[seed % 3])):
+        if rng.integers(share) == 0:
+            field = _FIELDS[rng.integers(len(_FIELDS))]
+            yield _TOKEN.findall(" ".join([*tokens[:at], quote + field + quote, *tokens[at + 1 :]])), not quote
+    if rng.integers(WITH_ORDINARY) == 0:
+        yield _TOKEN.findall(" ".join([*tokens[:at], _ORDINARY[rng.integers(len(_ORDINARY))], *tokens[at:]])), False
+    if len(tokens) > 2 and rng.integers(TORN) == 0:
+        cut = int(rng.integers(1, len(tokens)))
+        part = list(tokens[:cut] if rng.random() < 0.5 else tokens[cut:])
+        end = 0 if rng.random() < 0.5 else -1
+        if part[end].isalpha() and len(part[end]) > 2:  # tears go through words as well
+            part[end] = part[end][: int(rng.integers(1, len(part[end])))]
+        yield part, False
+
+
+def _messages() -> Iterator[list[str]]:
+    """Sentences that are residue wherever they stand."""
+    rng = np.random.default_rng(2)
+    for m in _MESSAGES:
+        for variant in (m, m.upper()):
+            yield from (tokens for tokens, *_ in sentences(variant))
+    for letters in ("asdfghjkl", "qwertyuiop", "zxcvbnm", "x"):
+        for _ in range(MASHED):
+            yield ["".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(int(rng.integers(4, 24)))]
 
 
-def _made_up(plain: list[list[str]]) -> tuple[list[list[str]], list[bool]]:
-    """Further sentences to fit on, with labels: messages, fields set into plain sentences, the same fields in quotes
-    (as in texts that explain them), and torn-off parts of plain sentences."""
-    rng = np.random.default_rng(2)
-    rows, label = [], []
+def _sampled(documents: DataFrame, item: str, text: str, host: str, texts: int) -> DataFrame:
+    """(buckets, label, made_up, held_out) of sentences of about ``texts`` texts, chosen by hash, and of variants."""
+    share = min(1.0, texts / max(documents.count(), 1))
+    chosen = F.pmod(F.xxhash64(F.col(item), F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
+    kept = F.pmod(F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")), F.lit(5)), F.lit(HELD_OUT)) == 0
+    rows = documents.where(chosen & F.col(text).isNotNull()).select(F.col(text).alias("text"), kept.alias("held_out"))
+    schema = "buckets array<int>, label boolean, made_up boolean, held_out boolean"
 
-    def add(text: str, is_residue: bool) -> None:
-        for tokens, *_ in sentences(text):
-            if is_residue or tokens:
-                rows.append(tokens)
-                label.append(is_residue)
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for value, held in zip(*(c.to_pylist() for c in batch.columns)):
+                places = labelled_places(value)
+                for tokens, a, b, title in sentences(value):
+                    hit = any(x < b and a < y for x, y in places)
+                    if hit or _CUE.search(value, a, b):
+                        out.append((_buckets(tokens, title), hit, False, held))
+                        continue
+                    seed = zlib.crc32(f"{a} {value[:40]}".encode("utf-8", "surrogatepass"))
+                    if seed % PLAIN_SHARE == 0:
+                        out.append((_buckets(tokens, title), False, False, held))
+                        if not held:
+                            out += [(_buckets(t, title), is_residue, True, False) for t, is_residue in _variants(tokens, seed)]
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int32())), *(pa.array(c, pa.bool_()) for c in columns[1:])], names=["buckets", "label", "made_up", "held_out"])
 
-    for m in _MESSAGES:
-        for variant in (m, m.lower(), m.upper()):
-            add(variant.replace("\n", " "), True)
-    for letters in ("asdfghjkl", "qwertyuiop", "zxcvbnm", "x"):  # keys struck at random
-        for _ in range(MASHED_COPIES):
-            rows.append(["".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(int(rng.integers(4, 24)))])
-            label.append(True)
-    if plain:
-        for field in _FIELDS:
-            for copy in range(FIELD_COPIES + QUOTED_COPIES):
-                tokens = list(plain[rng.integers(len(plain))])
-                quote = "" if copy < FIELD_COPIES else "\"'`"[copy % 3]
-                at = int(rng.integers(len(tokens)))
-                whole = " ".join([*tokens[:at], quote + field + quote, *tokens[at + 1 :]])
-                rows.append(_TOKEN.findall(whole.replace("\n", " ")))
-                label.append(not quote)
-        for i in rng.choice(len(plain), min(FRAGMENTS, len(plain)), replace=False):
-            tokens = plain[i]
-            if len(tokens) > 2:
-                cut = int(rng.integers(1, len(tokens)))
-                part = list(tokens[:cut] if rng.random() < 0.5 else tokens[cut:])
-                end = 0 if rng.random() < 0.5 else -1
-                if part[end].isalpha() and len(part[end]) > 2:  # tears go through words as well
-                    part[end] = part[end][: int(rng.integers(1, len(part[end])))]
-                rows.append(part)
-                label.append(False)
-    return [r for r in rows if r], [x for r, x in zip(rows, label) if r]
-
-
-def train(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", texts: int = SAMPLE_TEXTS, plain: int = SAMPLE_PLAIN) -> Classifier:
+    return spread(rows, "text").mapInArrow(label, schema)
+
+
+def train(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", texts: int = SAMPLE_TEXTS) -> Classifier:
     """Fit on hosts that are not held out, set the threshold on those that are."""
-    pdf = _sampled(documents, item, text, host, texts).toPandas()
-    order = np.random.default_rng(1).permutation(len(pdf))
-    common = ~pdf["cue"].to_numpy(bool)
-    common_at = order[common[order]][:plain]
-    pdf = pdf.iloc[np.r_[np.flatnonzero(~common), common_at]]
-    rows = [_buckets(list(t), bool(x)) for t, x in zip(pdf["tokens"], pdf["title"])]
-    label, held = pdf["label"].to_numpy(bool), pdf["held_out"].to_numpy(bool)
-    plain = [list(t) for t, cue, h in zip(pdf["tokens"], pdf["cue"], held) if not cue and not h]
-    more, more_label = _made_up(plain)
-    fit = [r for r, h in zip(rows, held) if not h] + [_buckets(t, False) for t in more]
-    weights = fit_logistic(fit, np.r_[label[~held], np.array(more_label, bool)])
-    score = np.array([weights[r].sum() for r, h in zip(rows, held) if h])
-    truth = label[held]
+    sample = _sampled(documents, item, text, host, texts).toArrow().combine_chunks()
+    label, made_up, held = (np.asarray(sample.column(c)) for c in ("label", "made_up", "held_out"))
+    lists = sample.column("buckets")
+    lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    more = [_buckets(t, False) for t in _messages()]
+    fit = ~held
+    weights = fit_logistic(
+        np.concatenate([flat[np.repeat(fit, size)], *more]),
+        np.r_[size[fit], [len(m) for m in more]],
+        np.r_[label[fit], np.ones(len(more), bool)],
+    )
+    seen = held & ~made_up
+    score = np.array([weights[x].sum() for x in np.split(flat[np.repeat(seen, size)], np.cumsum(size[seen])[:-1])]) if seen.any() else np.zeros(0)
+    truth = label[seen]
     best, threshold = -1.0, 0.0
-    for t in np.arange(-2.0, 2.01, 0.25):
+    for t in np.arange(0.0, 3.01, 0.25):
         hit = score > t
         f = 2 * (hit & truth).sum() / max(hit.sum() + truth.sum(), 1)
-        if f > best + 1e-9 or f == best and abs(t) < abs(threshold):
+        if f > best + 1e-9 or abs(f - best) <= 1e-9 and abs(t) < abs(threshold):
             best, threshold = f, float(t)
     hit = score > threshold
     quality = {"sentences": float(len(truth)), "positives": float(truth.sum()), "precision": float((hit & truth).sum() / max(hit.sum(), 1)), "recall": float((hit & truth).sum() / max(truth.sum(), 1))}
