@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagemill.llm import encode, near_duplicates, packing, splitting, template_residue, token_budget, vector_neighbours
+from passagemill.llm import encode, near_duplicates, packing, pii_sanitise, splitting, template_residue, token_budget, vector_neighbours
 from passagemill.operators.snapshots import latest_rows
 from passagemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each piece of personal information in the questions, by category and place."""
+    return pii_sanitise.personal_information(table(spark, folder, "pii_probes")).select("id", "category", "start_at")
+
+
+def p1_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions with placeholders instead of personal information."""
+    return pii_sanitise.sanitised(table(spark, folder, "pii_probes"))
+
+
 def p2_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and tokens per source, language and domain of documents, per source, scheme and language of passages."""
     return token_budget.token_budget(table(spark, folder, "documents"), table(spark, folder, "chunk"))
@@ -92,5 +102,5 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return template_residue.residue(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
