@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill.llm import encode, near_duplicates, packing, pii_sanitise, splitting, template_residue, token_budget, vector_neighbours
+from passagemill.llm.sql import SQL  # noqa: F401
 from passagemill.operators.snapshots import latest_rows
 from passagemill.sources.tables import table
 
@@ -103,4 +104,3 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores)}
-SQL: dict[str, str] = {}
