@@ -60,6 +60,15 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def strip_tags_each(markup: pd.Series) -> pd.Series:
+    """``strip_tags`` of every string of an array, which an expression cannot do, as entities need Python."""
+    import re
+
+    one = lambda x: re.sub(r"\s+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", x or ""))).strip()
+    return markup.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+
 def strip_tags(markup: Column) -> Column:
     """Tags to spaces, then entities to characters, then runs of white space to one."""
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(markup, "(?s)<[^>]+>", " ")), r"(?U)\s+", " "))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from passagemill.functions import rules as R, text as X
 
-_SPAN = "array<struct<start:int,end:int,name:string>>"
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
 def matching(text: Column, table: dict[str, str]) -> Column:

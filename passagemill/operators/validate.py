@@ -61,15 +61,16 @@ def validated(replies: DataFrame, now: Column | None = None) -> DataFrame:
     newest = F.coalesce(stamps(lambda h: F.array_contains("_kept", h["url"])), stamps(lambda h: F.lit(True)), F.lit(""))
     df = df.withColumn("last_updated", newest).withColumn("_stale", F.coalesce(X.age_days(F.col("last_updated"), now) > stale_days, F.lit(False)))
     no_sources, blank = F.size("_given") == 0, F.col("_text") == ""
+    end = lambda kind, reason, step: F.struct(F.lit(kind).alias("kind"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), F.lit(step).alias("step"))
     fail = (
-        F.when(F.col("_reply").isNull() | F.col("_reply.answer").isNull(), F.struct(F.lit("error").alias("kind"), F.lit("generation_parse_failed").alias("reason"), F.lit("parse").alias("step")))
-        .when(F.size("_pii") > 0, F.struct(F.lit("pii_notice"), F.concat(F.lit("output_pii:"), F.array_join("_pii", ",")), F.lit("pii_output")))
-        .when(F.col("_claim").isNotNull(), F.struct(F.lit("perf_redirect"), F.concat(F.lit("c4_block:"), F.col("_claim")), F.lit("c4_performance")))
-        .when(no_sources & (F.coalesce(F.col("_reply.refused"), F.lit(False)) | blank), F.struct(F.lit("refusal"), F.lit("model_refused"), F.lit("citation_present")))
-        .when(no_sources, F.struct(F.lit("abstain"), F.lit("no_citation"), F.lit("citation_present")))
-        .when(F.size("_kept") == 0, F.struct(F.lit("abstain"), F.concat(F.lit("citation_provenance_dropped:"), F.col("_bad")), F.lit("citation_provenance")))
-        .when(blank, F.struct(F.lit("abstain"), F.lit("empty_answer"), F.lit("non_empty")))
-        .otherwise(F.struct(F.lit("factual"), F.when(F.col("_stale"), "stale_source").otherwise("ok"), F.lit("done")))
+        F.when(F.col("_reply").isNull() | F.col("_reply.answer").isNull(), end("error", "generation_parse_failed", "parse"))
+        .when(F.size("_pii") > 0, end("pii_notice", F.concat(F.lit("output_pii:"), F.array_join("_pii", ",")), "pii_output"))
+        .when(F.col("_claim").isNotNull(), end("perf_redirect", F.concat(F.lit("c4_block:"), F.col("_claim")), "c4_performance"))
+        .when(no_sources & (F.coalesce(F.col("_reply.refused"), F.lit(False)) | blank), end("refusal", "model_refused", "citation_present"))
+        .when(no_sources, end("abstain", "no_citation", "citation_present"))
+        .when(F.size("_kept") == 0, end("abstain", F.concat(F.lit("citation_provenance_dropped:"), F.col("_bad").cast("string")), "citation_provenance"))
+        .when(blank, end("abstain", "empty_answer", "non_empty"))
+        .otherwise(end("factual", F.when(F.col("_stale"), "stale_source").otherwise("ok"), "done"))
     )
     df = df.withColumn("_end", fail)
     body = lambda n: F.array_join(F.slice("_sentences", 1, n), " ")

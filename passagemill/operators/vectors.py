@@ -74,8 +74,8 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int, same: str | None = None
     r_blocks = max(1, -(-rows.count() // ROW_BLOCK))
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     extra = [same] if same else []
-    left = rows.select("row_id", "vector", *extra).withColumn("r", F.pmod(F.xxhash64("row_id"), F.lit(r_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
-    right = queries.select("query_id", "vector", *extra).withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long"))
+    left = rows.select("row_id", "vector", *extra).withColumn("r", F.pmod(F.xxhash64("row_id"), F.lit(r_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    right = queries.select("query_id", "vector", *extra).withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
     id_type = rows.schema["row_id"].dataType.simpleString()
 
     def best(rows_pdf: pd.DataFrame, queries_pdf: pd.DataFrame) -> pd.DataFrame:
