@@ -4,8 +4,9 @@ A run of the join sends every set down one path. At each node of the path one wo
 values that all sets in the node share, so two sets of similarity s go on together with probability s. Nodes of more
 than ``BUCKET`` sets are split further as a DataFrame; smaller ones go to one task each, which goes on splitting, with
 two samples per node, until at most ``SMALL`` sets are left, and compares those in full. ``RUNS`` independent runs are
-made, enough for the recall at the threshold that ``least_recall`` computes. Every pair that comes out has passed an
-exact comparison of the two sets.
+made, as many as ``runs_needed`` says for the depth to which nodes had to be split. A node that hardly gets smaller by
+being split holds sets that are mostly alike; it is compared in full, in pairs of blocks that go to different tasks.
+Every pair that comes out has passed an exact comparison of the two sets.
 
 Texts with the same words are joined as one set beforehand and come out again as copies, so that a group of copies of
 any size costs one set in the join.
@@ -27,13 +28,17 @@ from passagemill.llm.runs import pairs_within, whole_runs
 from passagemill.session import cut_lineage
 
 THRESHOLD = 0.8
-RUNS = 12
+#: Share of the pairs right at the threshold that must be found; runs that are made at least.
+RECALL, RUNS = 0.999, 8
 #: Sets of a node that one task takes; sets that are compared in full; samples of a node within a task.
 BUCKET, SMALL, BRANCHES = 4096, 24, 2
-#: Nodes of a path that are computed at once, and in all; past these, a node goes to its task whatever its size.
-LEVELS, DEEPEST = 4, 24
-#: Levels that a task adds at most before it compares all that is left of a node.
-INNER = 16
+#: Nodes of a path that are computed at once, and in all; past these, a node is compared in full whatever its size.
+LEVELS, DEEPEST = 4, 48
+#: Levels that a task adds at most before it compares all that is left of a node. Sets that are all alike don't part and
+#: would only be multiplied by further levels.
+INNER = 5
+#: Pairs that a task holds before it hands them on.
+HELD = 100_000
 #: Bits of a sketch, two machine words, and how many must agree: five deviations under the mean at the threshold.
 SKETCH = 128
 _U = np.uint64
@@ -44,12 +49,13 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
 
 
-def least_recall(similarity: float = THRESHOLD, outer: int = 3, inner: int = 4, runs: int = RUNS) -> float:
-    """Chance that a pair of this similarity is found when its nodes are split ``outer`` and ``inner`` times."""
+def runs_needed(depth: int, similarity: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Runs after which a pair of this similarity is found with this chance, if its nodes are split ``depth`` times as
+    a DataFrame and INNER times in a task."""
     p = 1.0
-    for _ in range(inner):
+    for _ in range(INNER):
         p = 1 - (1 - similarity * p) ** BRANCHES
-    return 1 - (1 - p * similarity**outer) ** runs
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - p * similarity**depth)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,8 +110,8 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
-def _paths(sets: DataFrame, runs: int) -> DataFrame:
-    """The next LEVELS nodes of each set (id, run, node, words); with ``runs``, the first ones of every run."""
+def _paths(sets: DataFrame, runs: range) -> DataFrame:
+    """The next LEVELS nodes of each set (id, run, node, words); with ``runs``, the first ones of these."""
     schema = "id long, run int, " + ", ".join(f"p{i} long" for i in range(1, LEVELS + 1))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,7 @@ def _paths(sets: DataFrame, runs: int) -> DataFrame:
             for part in _slices(sizes, 500_000):
                 t, n = tokens[offsets[part.start] : offsets[part.stop]], sizes[part]
                 starts = np.r_[0, np.cumsum(n)[:-1]]
-                for run in range(runs) or [None]:
+                for run in runs or [None]:
                     if runs:
                         node = _mix(np.full(len(n), run + 1, np.uint64))
                         of = np.full(len(n), run, np.int32)
@@ -145,27 +151,42 @@ def _with_sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(sketch, "id long, words array<int>, s0 long, s1 long")
 
 
-def _assign_nodes(sets: DataFrame, runs: int, bucket: int) -> DataFrame:
-    """(id, node) for each set and run: the first node of its path that holds at most ``bucket`` sets."""
-    done, rows, depth = None, _paths(sets, runs), 0
+def _assign_nodes(sets: DataFrame, runs: range, bucket: int, threshold: float) -> tuple[DataFrame, int]:
+    """(id, node, blocks) for each set and run, and how often nodes were split: the first node of its path that holds
+    at most ``bucket`` sets, with blocks 0, or one that holds mostly equal ones, with the blocks to divide it into."""
+    done, rows, depth, deepest = None, _paths(sets, runs), 0, 0
     while True:
-        rows, heavy = cut_lineage(rows), None
+        rows = cut_lineage(rows)
+        heavy: list[DataFrame] = []
         for level in range(1, LEVELS + 1):
             p = f"p{level}"
-            last = level == LEVELS and depth + level >= DEEPEST
-            if last:
-                here, more = rows.select("id", F.col(p).alias("node")), False
-            else:
-                counted = (rows if heavy is None else rows.join(heavy, f"p{level - 1}", "left_semi")).groupBy(p).count()
-                heavier = cut_lineage(counted.where(F.col("count") > bucket).select(p))
-                here = rows.join(heavier, p, "left_anti").select("id", F.col(p).alias("node"))
-                more = not heavier.isEmpty()
-            done = here if done is None else done.union(here)
-            if not more:
-                return done
-            rows, heavy = rows.join(heavier, p, "left_semi"), heavier
+            counted = (rows.join(heavy[-1], f"p{level - 1}", "left_semi") if heavy else rows).groupBy(p).agg(F.count("*").alias("n"), F.max("p1").alias("p1_"))
+            heavier = cut_lineage(counted.where(F.col("n") > bucket))
+            light = rows.join(heavier, p, "left_anti").select("id", F.col(p).alias("node"), F.lit(0).alias("blocks"))
+            done = light if done is None else done.union(light)
+            if heavier.isEmpty():
+                return done, max(deepest, depth + level)
+            rows = rows.join(heavier, p, "left_semi")
+            heavy.append(heavier)
         depth += LEVELS
-        rows = _paths(rows.select("id", "run", F.col(f"p{LEVELS}").alias("node")).join(sets, "id").select("id", "words", "run", "node"), 0)
+        first = heavy[0].select(F.col("p1").alias("p1_"), F.col("n").alias("n1"))
+        alike = (F.col("n") > threshold ** (LEVELS - 1) * F.col("n1")) | F.lit(depth >= DEEPEST)
+        dense = heavy[-1].join(first, "p1_").where(alike).select(p, F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+        dense = cut_lineage(dense)
+        done = done.union(rows.join(dense, p).select("id", F.col(p).alias("node"), "blocks"))
+        rows = rows.join(dense, p, "left_anti")
+        deepest = depth
+        rows = _paths(rows.select("id", "run", F.col(p).alias("node")).join(sets, "id").select("id", "words", "run", "node"), range(0))
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(meeting, id, block, across, whole) of (id, node, blocks): a task's node, or a pair of blocks of a dense one."""
+    shared = nodes.where("blocks = 0").withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1")
+    plain = shared.select(F.col("node").alias("meeting"), "id", F.lit(0).alias("block"), F.lit(False).alias("across"), F.lit(False).alias("whole"))
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    dense = nodes.where("blocks > 0").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return plain.union(dense.select(key.alias("meeting"), "id", "block", (F.col("block") != F.col("other")).alias("across"), F.lit(True).alias("whole")))
 
 
 def _joiner(threshold: float):
@@ -173,17 +194,19 @@ def _joiner(threshold: float):
     agree -= 5 * np.sqrt(agree * (1 - agree / SKETCH))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "node", 8192):
+        for table in whole_runs(batches, "meeting", 8192):
             ids = table.column("id").to_numpy()
             flat, sizes = _ragged(table.column("words"))
             tokens, offsets = _as_uint(flat), np.r_[0, np.cumsum(sizes)]
             s0, s1 = (table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1"))
             seen: set[tuple[int, int]] = set()
-            out: list[tuple[int, int]] = []
 
-            def compare(rows: np.ndarray, key: np.ndarray) -> None:
+            def compare(rows: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+                out: list[tuple[int, int]] = []
                 for i, j in pairs_within(key):
                     i, j = rows[i], rows[j]
+                    ok = ~across[i] | (block[i] != block[j])
+                    i, j = i[ok], j[ok]
                     small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
                     ok = small >= threshold * large
                     i, j = i[ok], j[ok]
@@ -193,13 +216,23 @@ def _joiner(threshold: float):
                         pair = (ids[a], ids[b]) if ids[a] < ids[b] else (ids[b], ids[a])
                         if pair in seen or pair[0] == pair[1]:
                             continue
+                        if len(seen) >= 10 * HELD:
+                            seen.clear()  # pairs may then come out again, which costs time and is undone by distinct()
                         seen.add(pair)
                         x, y = flat[offsets[a] : offsets[a + 1]], flat[offsets[b] : offsets[b + 1]]
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         if both >= threshold * (len(x) + len(y) - both) - 1e-9:
                             out.append(pair)
-
-            rows, nodes = np.arange(len(ids)), table.column("node").to_numpy().view(np.uint64)
+                    if len(out) >= HELD:
+                        yield _pairs(out)
+                        out = []
+                if out:
+                    yield _pairs(out)
+
+            block, across, whole = table.column("block").to_numpy(), np.asarray(table.column("across")), np.asarray(table.column("whole"))
+            rows, nodes = np.arange(len(ids)), table.column("meeting").to_numpy().view(np.uint64)
+            yield from compare(rows[whole], nodes[whole])
+            rows, nodes = rows[~whole], nodes[~whole]
             for level in range(INNER + 1):
                 order = np.argsort(nodes, kind="stable")
                 rows, nodes = rows[order], nodes[order]
@@ -207,7 +240,7 @@ def _joiner(threshold: float):
                 of = np.diff(np.r_[first, len(nodes)])
                 size = np.repeat(of, of)
                 small = (size > 1) & (size <= SMALL) if level < INNER else size > 1
-                compare(rows[small], nodes[small])
+                yield from compare(rows[small], nodes[small])
                 rows, nodes = rows[size > SMALL], nodes[size > SMALL]
                 if not len(rows) or level == INNER:
                     break
@@ -221,24 +254,30 @@ def _joiner(threshold: float):
                             seed = _mix(nodes[part] + _U(branch + 1))
                         parts.append((r, _next_nodes(tokens[at], starts, n, seed)))
                 rows, nodes = (np.concatenate(x) for x in zip(*parts))
-            if out:
-                a, b = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return join
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b), a < b, of ids whose sets (id long, words array<int>, distinct and not empty) are similar enough."""
-    sets = cut_lineage(_with_sketches(sets))
-    nodes = _assign_nodes(sets.select("id", "words"), runs, bucket)
-    alone = F.count("*").over(Window.partitionBy("node"))
-    shared = nodes.withColumn("n", alone).where("n > 1").select("id", "node")
-    placed = shared.join(sets, "id").repartition("node").sortWithinPartitions("node")
-    return placed.select("node", "id", "words", "s0", "s1").mapInArrow(_joiner(threshold), "a long, b long").distinct()
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(out, np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def near_duplicates(texts: DataFrame, item: str, text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose sets (id long, words array<int>, distinct and not empty) are similar enough."""
+    sets = cut_lineage(_with_sketches(sets))
+    words_only = sets.select("id", "words")
+    nodes, depth = _assign_nodes(words_only, range(RUNS), bucket, threshold)
+    made = RUNS
+    while (needed := runs_needed(depth, threshold, recall)) > made:
+        more, further = _assign_nodes(words_only, range(made, needed), bucket, threshold)
+        nodes, depth, made = nodes.union(more), max(depth, further), needed
+    placed = _meetings(nodes).join(sets, "id").repartition("meeting").sortWithinPartitions("meeting")
+    columns = placed.select("meeting", "id", "block", "across", "whole", "words", "s0", "s1")
+    return columns.mapInArrow(_joiner(threshold), "a long, b long").distinct()
+
+
+def near_duplicates(texts: DataFrame, item: str, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and membership of their copies.
 
     Returns (rep_a, rep_b), pairs of representatives, and (rep, item), one row for each item that has words, where rep
@@ -251,7 +290,7 @@ def near_duplicates(texts: DataFrame, item: str, text: str = "text", threshold:
     members = hashed.select("rep", item).distinct()
     chosen = hashed.groupBy("rep").agg(F.min(item).alias(item))
     sets = hashed.join(chosen, ["rep", item], "left_semi").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "words")
-    links = similar_sets(sets, threshold, runs, bucket).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
+    links = similar_sets(sets, threshold, recall, bucket).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
     return links, members
 
 
