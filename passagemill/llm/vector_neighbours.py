@@ -35,6 +35,8 @@ SAMPLE, ROUNDS = 10_000, 30
 #: Deviations by which a pair at MIN_SCORE may have more differing bits than expected and still be scored.
 SLACK = 3.5
 LONG_WORDS = 6  # machine words of the long code
+#: Vectors that one task compares in one place; a fuller place is divided into blocks, and its pairs of blocks are spread.
+PLACE = 20_000
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +141,14 @@ def _meet(bits: int, most: int):
     mask = (1 << width) - 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "place", 100_000):
-            place, ids = table.column("place").to_numpy(), table.column("id").to_numpy()
+        for table in whole_runs(batches, "meeting", 100_000):
+            meeting, place, ids, block = (table.column(c).to_numpy() for c in ("meeting", "place", "id", "block"))
+            across = np.asarray(table.column("across"))
             codes = [table.column(f"c{i}").to_numpy() for i in range(SUBSTRINGS // 2)]
-            for i, j in pairs_within(place, 1_000_000):
+            for i, j in pairs_within(meeting, 1_000_000):
+                if across.any():  # two blocks that meet compare their rows with each other's only
+                    ok = ~across[i] | (block[i] != block[j])
+                    i, j = i[ok], j[ok]
                 differ = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in codes)
                 ok = differ <= most
                 i, j = i[ok], j[ok]
@@ -164,6 +170,19 @@ def _meet(bits: int, most: int):
     return meet
 
 
+def _meetings(filed: DataFrame, most: int) -> DataFrame:
+    """``filed`` with the key under which rows meet: their place, or of an overfull place a pair of its blocks."""
+    filed = filed.withColumns({"meeting": F.col("place"), "block": F.lit(0), "across": F.lit(False)})
+    full = cut_lineage(filed.groupBy("place").count().where(F.col("count") > most).select("place", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
+    if full.isEmpty():
+        return filed
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    divided = filed.join(full, "place").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("place", F.least("block", "other"), F.greatest("block", "other"), F.lit(1))
+    divided = divided.withColumn("meeting", key).withColumn("across", F.col("block") != F.col("other"))
+    return filed.join(full, "place", "left_anti").unionByName(divided.select(*filed.columns))
+
+
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
@@ -178,7 +197,7 @@ def code_bits(n: int) -> int:
     return SUBSTRINGS * int(np.clip(np.ceil(np.log2(max(n, 2))) + 2, 8, 30))
 
 
-def neighbours(df: DataFrame, item: str, vector: str, k: int = K, min_score: float = MIN_SCORE, dimension: int = DIMENSION, sample: int = SAMPLE) -> DataFrame:
+def neighbours(df: DataFrame, item: str, vector: str, k: int = K, min_score: float = MIN_SCORE, dimension: int = DIMENSION, sample: int = SAMPLE, place: int = PLACE) -> DataFrame:
     """(item, neighbour, score, rank): for each item its ``k`` others of highest cosine, if of at least ``min_score``."""
     rows = cut_lineage(usable_vectors(df, item, vector, dimension).select(F.col(item).alias("item"), F.col(vector).alias("vector"), F.xxhash64(vector).alias("id")))
     # of equal vectors, the k + 1 first ids are all that can be among anyone's k neighbours
@@ -190,7 +209,7 @@ def neighbours(df: DataFrame, item: str, vector: str, k: int = K, min_score: flo
     bits = code_bits(n)
     codes = cut_lineage(_codes(distinct, bits, sample))
     places = "place long, id long, " + ", ".join(f"c{i} long" for i in range(SUBSTRINGS // 2))
-    filed = codes.mapInArrow(_file(bits), places).repartition("place").sortWithinPartitions("place")
+    filed = _meetings(codes.mapInArrow(_file(bits), places), place).repartition("meeting").sortWithinPartitions("meeting")
     met = filed.mapInArrow(_meet(bits, differing_bits(bits, min_score)), "a long, b long")
     long = [f"long_{i}" for i in range(LONG_WORDS)]
     a, b = (codes.select(F.col("id").alias(x), *(F.col(c).alias(x + c) for c in long)) for x in "ab")

@@ -55,7 +55,9 @@ def test_few_vectors(spark, n):
     assert V.neighbours(spark.createDataFrame(rows, SCHEMA), "chunk_id", "embedding").count() == (2 if n == 2 else 0)
 
 
-def test_pigeonhole_pairs_come_out_once(spark):
+# places of more than 15 rows are divided in the second case
+@pytest.mark.parametrize("full", [20_000, 15])
+def test_pigeonhole_pairs_come_out_once(spark, full):
     bits = V.SUBSTRINGS * 8
     rng = np.random.default_rng(3)
     code = rng.integers(0, 2, (300, bits))
@@ -67,8 +69,8 @@ def test_pigeonhole_pairs_come_out_once(spark):
     names = ", ".join(["id long", *(f"part_{i} long" for i in range(V.SUBSTRINGS))])
     df = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(parts)], names)
     places = "place long, id long, " + ", ".join(f"c{i} long" for i in range(V.SUBSTRINGS // 2))
-    filed = df.mapInArrow(V._file(bits), places).repartition(3, "place").sortWithinPartitions("place")
     most = V.SUBSTRINGS * (V.RADIUS + 1) - 1
+    filed = V._meetings(df.mapInArrow(V._file(bits), places), full).repartition(3, "meeting").sortWithinPartitions("meeting")
     got = [tuple(r) for r in filed.mapInArrow(V._meet(bits, most), "a long, b long").collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i in range(300) for j in range(i + 1, 300) if (code[i] != code[j]).sum() <= most}
