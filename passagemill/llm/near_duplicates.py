@@ -29,9 +29,9 @@ from passagemill.session import cut_lineage
 
 THRESHOLD = 0.8
 #: Share of the pairs right at the threshold that must be found; runs that are made at least.
-RECALL, RUNS = 0.999, 8
+RECALL, RUNS = 0.999, 11
 #: Sets of a node that one task takes; sets that are compared in full; samples of a node within a task.
-BUCKET, SMALL, BRANCHES = 4096, 24, 2
+BUCKET, SMALL, BRANCHES = 16_384, 24, 2
 #: Nodes of a path that are computed at once, and in all; past these, a node is compared in full whatever its size.
 LEVELS, DEEPEST = 4, 48
 #: Levels that a task adds at most before it compares all that is left of a node. Sets that are all alike don't part and

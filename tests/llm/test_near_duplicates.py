@@ -72,7 +72,7 @@ def test_hot_copies_and_empty_table(spark):
 
 
 def test_runs_for_the_recall():
-    assert N.runs_needed(2) <= N.RUNS < N.runs_needed(4) < N.runs_needed(8)
+    assert N.runs_needed(3) <= N.RUNS < N.runs_needed(4) < N.runs_needed(8)
 
 
 def test_pairs_within():
