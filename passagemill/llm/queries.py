@@ -103,4 +103,11 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return template_residue.residue(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores)}
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """How the classifier does on sentences of hosts outside its fit, against their weak labels."""
+    fitted = template_residue.train(table(spark, folder, "documents"))
+    row = [(fitted.threshold, *(fitted.held_out[k] for k in ("sentences", "positives", "precision", "recall")))]
+    return spark.createDataFrame(row, "threshold double, sentences double, positives double, precision double, recall double")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores, p9_quality)}

@@ -1,11 +1,11 @@
 """Template residue, stand-in copy, error pages and script notices in place of content.
 
 A regularised linear classifier scores every sentence of every text by hashed n-grams (words, pairs of neighbouring
-words, parts of words), its length, and whether it stands in the title line. Its labels are weak: response statuses and
+words, pairs of their shapes), its length, and whether it stands in the title line. Its labels are weak: response statuses and
 phrases of failed pages, notices, fields and stand-in copy (``_SEEDS``), unless the place quotes or explains them. It is
 fitted on a bounded sample of texts of some hosts; its threshold is set, and its quality measured, on hosts it has not
-seen. Because the classifier is linear, the share of a word in all its features is one number, which a worker computes
-once per distinct word, so that scoring takes a table lookup per word and per pair of words.
+seen. Because the classifier is linear, scoring takes a table lookup per word and per pair of words; what a word adds is
+computed once per distinct word of a worker.
 
 Defined results: a null, empty or blank text is no case; every text is scored in full; repeated rows give one row for
 each distinct id; extra columns are ignored; an empty table gives no rows.
@@ -28,12 +28,14 @@ from passagemill.session import spread
 #: Texts that are labelled for fitting, about; of their sentences without a cue, one in so many is fitted on.
 SAMPLE_TEXTS, PLAIN_SHARE = 6_000, 4
 #: Hash buckets of the weights; strength of the regularisation; weight of a positive sentence; fitting steps.
-BUCKETS, RIDGE, POSITIVE_WEIGHT, STEPS = 1 << 18, 0.3, 4.0, 40
+BUCKETS, RIDGE, POSITIVE_WEIGHT, STEPS = 1 << 20, 0.1, 4.0, 50
 #: One host in so many is kept out of the fit.
 HELD_OUT = 5
+#: Scores (above the threshold) between which a text is a case only if one of its places also passes the exact check.
+DOUBTFUL, CERTAIN = -4.0, 2.5
 
 _TOKEN = regex.compile(r"\n|\p{N}+(?:[.,:/-]\p{N}+)*|[\p{L}\p{M}]+|_+|[^\s\p{L}\p{M}\p{N}_]+")
-_ENDS = frozenset("\n . ! ? । … !! ?!".split(" "))
+_ENDS = frozenset("\n . ! ? । … !! ?! - – —".split(" "))
 
 # weak labels; the lists are ours and open-ended, as any phrase that pages of this kind use may stand here
 _SEEDS = {
@@ -52,7 +54,7 @@ _SEEDS = {
     r"|scripting switched off|(?:cookies|scripts|cookies and scripts) must be|without script|\bnoscript\b|turn them on and reload"
     r"|activer javascript|activez javascript|aktivieren sie (?:bitte )?(?:javascript|cookies)|activ[ea]r? javascript|habilit[ea]r? javascript|जावास्क्रिप्ट",
     "copy": r"\blorem\b|\bipsum\b|dummy (?:copy|text)|your (?:heading|title|text|headline|subtitle) (?:goes )?here|(?:sample|example) text|placeholder|click to edit|(?:replace|insert|type) (?:this|your) (?:paragraph|text|copy|headline)"
-    r"|description of [^.\n]{0,40} to follow|(?:copy|text|content|details) to (?:come|follow)|filler text|layout review only|texto de relleno|texto de ejemplo|texto simulado|platzhalter|blindtext|beispieltext|mustertext|texte (?:d'attente|à remplacer|de remplacement|factice|de remplissage|d'exemple)|नमूना पाठ|यहाँ पाठ",
+    r"|description of [^.\n]{0,40} to follow|(?:copy|text|content|details) to (?:come|follow)|filler text|layout review only|texto de relleno|texto de ejemplo|texto simulado|platzhalter|hier (?:steht|kommt|folgt) (?:später |bald |noch )?(?:der|ein|ihr) text|aquí (?:va|irá) (?:el|su) texto|ici (?:viendra|votre) (?:le )?texte|blindtext|beispieltext|mustertext|texte (?:d'attente|à remplacer|de remplacement|factice|de remplissage|d'exemple)|नमूना पाठ|यहाँ पाठ",
     "filler": r"^\s*(?:x{2,}\s*){4,}$|^\s*(?:[asdfghjkl]{1,12} +){6,}[asdfghjkl]{1,12}\s*$|^\s*(?:[qwertyuiop]{1,12} +){8,}[qwertyuiop]{1,12}\s*$|\b(?P<again>text|test|content|foo bar|foo|abc|asdf|qwerty|lorem ipsum|copy|blah|words?|dummy|sample|filler|placeholder)(?:[ /,]+(?P=again)){3,}",
     "field": r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{0,60}%\}|<%[^<>\n]{0,60}%>|[$#]\{[^{}\n]{1,40}\}|%\(\w+\)[sd]|\[\[[^\[\]\n]{1,40}\]\]|<<[^<>\n]{1,40}>>|«\w+_\w+»|@@\w+@@|\b__\w+__\b|%[a-z]+(?:_[a-z]+)+%"
     r"|(?<![\w{$#])\{(?:\w+(?:_\w+)*|\d)\}|\[●\]|_{4,}|\${2,}|\bxx\.xx\b|\bdd/mm/yyyy\b|\byyyy-mm-dd\b|\[object object\]|<(?:value )?missing[^<>\n]{0,20}>|<value [^<>\n]{1,20}>|\bnan\b|(?<!\b(?:was|is|are|were|be|been|as|remains?|left) )\bundefined\b(?! (?:for|in|by|until|under)\b)|(?<![\w%])%[sd]\b"
@@ -107,14 +109,29 @@ def _shape(token: str) -> str:
     return "9" * min(len(token), 4) if token[0].isnumeric() else token.lower()
 
 
-def _word_features(token: str) -> list[int]:
-    """Buckets of a word itself and of its parts of three characters."""
-    word = _shape(token)
-    out = [zlib.crc32(word.encode()) % BUCKETS]
-    if len(word) > 3 and word[0].isalpha():
-        padded = f"<{word}>"
-        out += [zlib.crc32(b"part " + padded[i : i + 3].encode()) % BUCKETS for i in range(min(len(padded) - 2, 40))]
-    return out
+def _word_bucket(token: str) -> int:
+    return zlib.crc32(_shape(token).encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_ROWS = tuple(map(frozenset, ("asdfghjkl", "qwertyuiop", "zxcvbnm")))
+
+
+def _kind(token: str) -> str:
+    """What is left of a token when its letters don't count: signs as they are, numbers and words by class; words of
+    one letter repeated, or of one row of the keyboard, have their own classes."""
+    first = token[0]
+    if first.isnumeric():
+        return "9"
+    if not first.isalpha():
+        return token if first != "_" else "_" * min(len(token), 3)
+    letters = frozenset(token.lower())
+    if len(letters) == 1:
+        return "w1"
+    return next((f"row{i}" for i, row in enumerate(_ROWS) if letters <= row), "w")
+
+
+def _kind_hash(token: str) -> int:
+    return zlib.crc32(b"kind " + _kind(token).encode("utf-8", "surrogatepass"))
 
 
 def _word_hash(token: str) -> int:
@@ -160,10 +177,10 @@ def sentences(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
 
 def _buckets(tokens: list[str], title: bool) -> np.ndarray:
     """All features of a sentence, as 32-bit integers."""
-    own = [b for t in tokens for b in _word_features(t)]
-    h = np.array([_word_hash(t) for t in tokens], np.uint64)
+    own = [_word_bucket(t) for t in tokens]
+    h, k = (np.array([f(t) for t in tokens], np.uint64) for f in (_word_hash, _kind_hash))
     extra = [_BIAS, _LENGTH_BUCKETS[_length_class(np.array(len(tokens)))], *([_TITLE] if title else [])]
-    return np.concatenate([own, _pair_buckets(h[:-1], h[1:]), extra]).astype(np.int32)
+    return np.concatenate([own, _pair_buckets(h[:-1], h[1:]), _pair_buckets(k[:-1], k[1:]), extra]).astype(np.int32)
 
 
 @dataclass
@@ -230,7 +247,7 @@ _MESSAGES = (
     "|Zugriff verweigert|Página no encontrada|Acceso denegado|Page introuvable|Accès refusé|पृष्ठ नहीं मिला|सर्वर में त्रुटि हुई|{\"status\": \"error\", \"title\": \"Access denied\"}|<html><h1>Access denied</h1>|Please enable JavaScript to view this page|JavaScript is disabled in your browser|Cookies and scripts must be allowed"
     "|This site needs scripts to run|Veuillez activer JavaScript|Bitte aktivieren Sie JavaScript|Active JavaScript para ver esta página|जावास्क्रिप्ट चालू करें|noscript|Lorem ipsum dolor sit amet|Your heading here|Sample text goes here"
     "|Dummy copy for layout review only|Replace this paragraph|Click to edit this block|Caption placeholder|Short description to follow|Copy to come / copy to come / copy to come|text text text text text text|test test test test test"
-    "|content content content content|foo bar foo bar foo bar|abc abc abc abc abc abc|qwerty qwerty qwerty qwerty|blah blah blah blah|xxxx xx xxxxx xxx xxxxxx xx|sdf kjh asdg hjkl fgh dsa lkj|Texto de relleno por sustituir|Platzhaltertext|Texte à remplacer|यहाँ नमूना पाठ आएगा"
+    "|content content content content|foo bar foo bar foo bar|abc abc abc abc abc abc|qwerty qwerty qwerty qwerty|blah blah blah blah|xxxx xx xxxxx xxx xxxxxx xx|sdf kjh asdg hjkl fgh dsa lkj|Texto de relleno por sustituir|Platzhaltertext|Hier steht später der Text|Texte à remplacer|Texte de remplacement à compléter|Texto de ejemplo|यहाँ नमूना पाठ आएगा"
 ).split("|")
 _FIELDS = (
     "{{ name }}|{{nav_date}}|{{ scheme.name }}|${date}|${plan_type}|[[name]]|[[plan_type]]|<%= name %>|<%= nav_date %>|{% name %}|{% plan_type %}|#{name}|#{nav_date}|%(name)s|%(plan_type)s|%NAV_DATE%|%NAME%|@@NAME@@|@@PLAN_TYPE@@"
@@ -241,7 +258,7 @@ _FIELDS = (
 _ORDINARY = "[1]|[4]|[A]|[B]|[sic]|(a/b)|(see below)|x < y|a > b|<Annex>|{A, B}|{Growth, IDCW}|100%|5 %|$5|#3|* 2|name_of@mail.example|§ 4|&amp;|\"so called\"|'as is'|**note**".split("|")
 #: Of the plain sentences that are fitted on, one in so many also comes with a field set into it, with the same kind of
 #: field in quotes (as in texts that explain it), with ordinary signs, and torn. Sentences of keys struck at random, of each kind.
-WITH_FIELD, WITH_QUOTED, WITH_ORDINARY, TORN, MASHED = 3, 8, 10, 3, 60
+WITH_FIELD, WITH_QUOTED, WITH_ORDINARY, TORN, MASHED = 2, 6, 8, 3, 60
 
 
 def _variants(tokens: list[str], seed: int) -> Iterator[tuple[list[str], bool]]:
@@ -343,7 +360,7 @@ class _Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.own, self.hash, self.ends = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.own, self.hash, self.kind, self.ends = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) > self.MOST:
@@ -352,7 +369,8 @@ class _Scorer:
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             w = self.c.weights
-            self.own = np.r_[self.own, [0.0 if t in _ENDS else w[_word_features(t)].sum() for t in new]]
+            self.own = np.r_[self.own, [0.0 if t in _ENDS else w[_word_bucket(t)] for t in new]]
+            self.kind = np.r_[self.kind, np.array([_kind_hash(t) for t in new], np.uint64)]
             self.hash = np.r_[self.hash, np.array([_word_hash(t) for t in new], np.uint64)]
             self.ends = np.r_[self.ends, np.array([(t in _ENDS) + (t == "\n") for t in new], np.int8)]
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
@@ -376,7 +394,9 @@ class _Scorer:
         n = int(sentence[-1]) + 1
         score = np.bincount(sentence, self.own[rows], n)
         near = np.flatnonzero((sentence[1:] == sentence[:-1]) & ~end[:-1])
-        score += np.bincount(sentence[near], self.c.weights[_pair_buckets(self.hash[rows[near]], self.hash[rows[near + 1]])], n)
+        a, b = rows[near], rows[near + 1]
+        pairs = sum(self.c.weights[_pair_buckets(h[a], h[b])] for h in (self.hash, self.kind))
+        score += np.bincount(sentence[near], pairs, n)
         words = np.bincount(sentence, ~end, n).astype(np.int64)
         score += self.length[_length_class(words)] + self.c.weights[_BIAS]
         in_title = np.zeros(n, bool)
@@ -398,8 +418,8 @@ def _scorer(broadcast) -> _Scorer:
     return _SCORERS[0]
 
 
-def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item, score): how far the most suspect sentence of each text lies above the threshold."""
+def _over_texts(documents: DataFrame, classifier: Classifier, item: str, text: str, least: float | None) -> DataFrame:
+    """Scores of all texts, or with ``least`` of those that score higher and are certain or pass the exact check."""
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
     schema = T.StructType([documents.schema[item], T.StructField("score", T.DoubleType())])
 
@@ -409,14 +429,24 @@ def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_i
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 score = scorer.scores(texts[a:b]) - scorer.c.threshold
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=[item, "score"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=[item, "score"])
+                if least is not None:
+                    out = out.filter(pa.array([s > CERTAIN or s > least and bool(labelled_places(t)) for s, t in zip(score.tolist(), texts[a:b])], pa.bool_()))
+                yield out
 
     return spread(documents.select(item, text), item).mapInArrow(run, schema)
 
 
-def residue(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", classifier: Classifier | None = None) -> DataFrame:
-    """(item, score) of the texts that hold residue in place of content."""
-    classifier = classifier or train(documents, item, text, host)
-    return score_texts(documents, classifier, item, text).where("score > 0").groupBy(item).agg(F.max("score").alias("score"))
+def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item, score): how far the most suspect sentence of each text lies above the threshold."""
+    return _over_texts(documents, classifier, item, text, None)
 
 
+def residue(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", classifier: Classifier | None = None) -> DataFrame:
+    """(item, score) of the texts that hold residue in place of content.
+
+    The classifier proposes every text that scores over DOUBTFUL. From CERTAIN on it decides alone; below, the text is
+    a case if a seed stands in it that is neither quoted nor told of.
+    """
+    classifier = classifier or train(documents, item, text, host)
+    return _over_texts(documents, classifier, item, text, DOUBTFUL).groupBy(item).agg(F.max("score").alias("score"))
