@@ -104,7 +104,7 @@ def _run(df: DataFrame, keep: list[str], text: str, out: T.StructField, vocabula
                     result = pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(table.ids[at]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), result], names=[f.name for f in schema])
 
-    return spread(df.select(*keep, text), *keep).mapInArrow(encode, schema)
+    return spread(df.select(*keep, text)).mapInArrow(encode, schema)
 
 
 def encode_texts(df: DataFrame, keep: list[str], text: str = "text", out: str = "ids", vocabulary: str = bpe.BYTE_BPE_50K, folder: str = bpe.TOKENIZERS) -> DataFrame:

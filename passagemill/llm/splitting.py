@@ -123,4 +123,4 @@ def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int =
                 kept = [part.column(i).take(pa.array(of, pa.int32())) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, arrow))], names=[f.name for f in schema])
 
-    return spread(df.select(*keep, text), *keep).mapInArrow(split, schema)
+    return spread(df.select(*keep, text)).mapInArrow(split, schema)

@@ -317,7 +317,7 @@ def _sampled(documents: DataFrame, item: str, text: str, host: str, texts: int)
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int32())), *(pa.array(c, pa.bool_()) for c in columns[1:])], names=["buckets", "label", "made_up", "held_out"])
 
-    return spread(rows, "text").mapInArrow(label, schema)
+    return spread(rows).mapInArrow(label, schema)
 
 
 def train(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", texts: int = SAMPLE_TEXTS) -> Classifier:
@@ -434,7 +434,7 @@ def _over_texts(documents: DataFrame, classifier: Classifier, item: str, text: s
                     out = out.filter(pa.array([s > CERTAIN or s > least and bool(labelled_places(t)) for s, t in zip(score.tolist(), texts[a:b])], pa.bool_()))
                 yield out
 
-    return spread(documents.select(item, text), item).mapInArrow(run, schema)
+    return spread(documents.select(item, text)).mapInArrow(run, schema)
 
 
 def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_id", text: str = "text") -> DataFrame:
