@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -27,14 +27,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-bound stage at least as many tasks as the cluster has cores.
 
-    A scan of many splits is returned as it is, without a shuffle; one of a few large splits is redistributed by hash
-    of all of ``keys``.
+    A scan of many splits is returned as it is, without a shuffle; the rows of one of a few large splits are dealt out
+    in turn, so that no hot key or repeated row can make one task larger (Spark sorts them first, so that a task that
+    runs again deals them out alike).
     """
-    spark = df.sparkSession
-    wanted = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *(F.col(k) for k in keys))
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
