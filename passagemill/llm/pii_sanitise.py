@@ -62,6 +62,7 @@ _COMMON = frozenset(
 )
 _END = regex.compile(r"[.!?।;\n](?=\s|$)|\s-\s|^-\s|[)\]}]|^\W*(?=[({\[])")
 _SHORTENED = regex.compile(r"(?:^|[^\p{L}])(?:no|tel|mrs?|ms|dr|ph|mob|a/c|acc|ac|acct|smt|st|rs|shri)\.\s*$", regex.I)
+_VALUE = regex.compile(r"\d{3,}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:/[\p{L}\p{M}]+)?|[@#₹$€%]")
 
 #: Words that announce a value of a category, and words that rule values out: the prior where the corpus is silent.
@@ -125,6 +126,9 @@ def _numbers(text: str) -> Iterator[Candidate]:
                 categories = _digit_categories(groups, mark, text[parts[i][0]])
                 if categories:
                     lead = "0" if text[parts[i][0]] == "0" else "6" if text[parts[i][0]] in "6789" else "1"
+                    for k in range(i, j - 1) if j - i > 2 else ():  # a number may follow the last digits of an address
+                        if groups[k - i : k - i + 2] == [5, 5] and text[parts[k][0]] in "6789":
+                            yield Candidate(parts[k][0], parts[k + 1][1], "n5+5 within", ("phone",))
                     yield Candidate(parts[i][0], parts[j - 1][1], f"n{'+'.join(map(str, groups))} {mark.strip()}{lead if sum(groups) > 9 else ''}", categories)
                     i = j
                     break
@@ -149,12 +153,13 @@ def candidates(text: str) -> list[Candidate]:
             out.append(Candidate(m.start(), m.end(), f"spelled {n}", categories))
     out += _numbers(text)
     out += [Candidate(m.start(), m.end(), "address", ("address",)) for m in _ADDRESS.finditer(text)]
+    clearer = [(c.start, c.end) for c in out]
     for m in _ANNOUNCE.finditer(text):
         at, parts = m.end(), []
         while len(parts) < 5 and (p := _NAME_PART.match(text, at)):
             word = p[0].strip("  .").lower()
             initial = len(p[0].rstrip()) == 2 and p[0].rstrip().endswith(".")
-            if word in _COMMON and not initial or not parts and word in ("mr", "mrs", "ms", "dr"):
+            if any(a <= p.start() < b for a, b in clearer) or word in _COMMON and not initial or not parts and word in ("mr", "mrs", "ms", "dr"):
                 break
             parts.append((p.start(), p.start() + len(p[0].rstrip())))
             at = p.end()
@@ -174,6 +179,8 @@ def _left(text: str, at: int) -> list[str]:
     for m in _END.finditer(before):
         if not _SHORTENED.search(before[: m.end()]):
             cut = m.end()
+    for m in _VALUE.finditer(before, cut):  # what announces another value says nothing of this one
+        cut = m.end()
     return [w.lower() for w in _WORD.findall(before[cut:])][-3:]
 
 
@@ -186,7 +193,10 @@ def _right(text: str, at: int) -> list[str]:
 def surroundings(text: str, c: Candidate) -> tuple[str, str, list[str]]:
     """Keys of the nearest and of the wider surroundings of a candidate, and the words themselves."""
     left, right = _left(text, c.start), _right(text, c.end)
-    kind = f"n{sum(map(int, regex.findall(r'[0-9]+', c.form.split(' ')[0])))}" if c.form[0] == "n" and c.form[1].isdigit() else c.form.split(" ")[0]
+    kind = c.form.split(" ")[0]
+    if kind[0] == "n" and kind[1].isdigit():  # what announces a long number announces it in any length and grouping
+        digits = sum(map(int, regex.findall("[0-9]+", kind)))
+        kind = f"n{digits}" if digits < 9 else "long number"
     if left:
         near, wide = left[-1], " ".join(left)
         if c.categories == ("name",):
