@@ -4,8 +4,10 @@ Every place that has the form of a value (an address of electronic mail, a run o
 announcing word, ...) is a candidate term. How strongly a candidate reveals a protected entity is estimated from
 co-occurrence over the whole corpus: the share of labelled texts with the entity among those in which the same form
 stands in the same surroundings, smoothed from the words around it to the nearest word to the form alone, against the
-share among all labelled texts. The logarithm of the ratio is their pointwise mutual information. Candidates over the
-disclosure threshold are generalised to a typed placeholder; the rest of the text stays as it is.
+share among all labelled texts. The logarithm of the ratio is their pointwise mutual information; shares count up to
+a cap, so that no category is too common to be disclosed. Candidates over the disclosure threshold are generalised to
+a typed placeholder; the rest of the text stays as it is. The label of a category over the cap, which nearly any text
+may have, counts only for the candidates of a text that are announced or clear, if it has such.
 
 Labels are the rows that name their categories (in any letter case, at times incomplete) and the values that must not
 be echoed. Words that announce or rule out a value act as a prior, which matters only where the corpus has few cases.
@@ -16,7 +18,7 @@ overlap, the one of the clearer form counts; extra columns are ignored; an empty
 
 from __future__ import annotations
 
-
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,8 @@ from passagemill.session import cut_lineage
 
 #: Weight of what is known one step less closely; the least probability and information that count as disclosure.
 SMOOTHING, LEAST_PROBABILITY, LEAST_INFORMATION = 4.0, 0.5, 1.0
+#: Shares of categories count up to this, at which the least probability has the least information.
+MOST_SHARE = LEAST_PROBABILITY / math.exp(LEAST_INFORMATION + 1e-9)
 
 _EDGE = r"(?<![\p{L}\p{M}\p{N}])"
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)", r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)"
@@ -214,11 +218,12 @@ def _prior(category: str, words: list[str]) -> float | None:
     return 0.05 if any(w in RULED_OUT for w in words) else None
 
 
-_FOUND = "id string, start int, end int, category string, form string, near string, wide string, prior double, label boolean"
+_FOUND = "id string, start int, end int, category string, form string, near string, wide string, prior double, label boolean, explained boolean"
 
 
 def _candidate_rows(rows: DataFrame) -> DataFrame:
-    """A row for each candidate and category that it may be; label is null where nothing is known."""
+    """A row for each candidate and category that it may be; label is null where nothing is known, and explained says
+    that a likelier candidate of the text, or one around it, is of the same category."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _FOUND.split(", ")]
@@ -226,14 +231,24 @@ def _candidate_rows(rows: DataFrame) -> DataFrame:
             out = []
             for key, text, categories, echo in zip(*(c.to_pylist() for c in batch.columns)):
                 known = None if categories is None else {(c or "").lower() for c in categories}
-                for c in candidates(text or ""):
-                    near, wide, words = surroundings(text, c)
+                placed = [(c, *surroundings(text, c)) for c in candidates(text or "")]
+                likely = {x for c, _, _, words in placed for x in c.categories if x in _CLEAR or (_prior(x, words) or 0) > LEAST_PROBABILITY}
+                widest, upto = set(), dict.fromkeys(CATEGORIES, 0)
+                for c, *_ in sorted(placed, key=lambda p: (p[0].start, -p[0].end)):
+                    for x in c.categories:
+                        if c.end > upto[x]:
+                            widest.add((x, c.start, c.end))
+                            upto[x] = c.end
+                for c, near, wide, words in placed:
                     echoed = bool(echo) and text.startswith(echo, c.start)
                     for category in c.categories:
                         label = True if echoed and len(c.categories) == 1 else None if known is None else category in known
-                        out.append((key, c.start, c.end, category, c.form, near, wide, _prior(category, words), label))
+                        prior = _prior(category, words)
+                        weaker = category in likely and category not in _CLEAR and (prior or 0) <= LEAST_PROBABILITY
+                        explained = not (echoed and len(c.categories) == 1) and (weaker or (category, c.start, c.end) not in widest)
+                        out.append((key, c.start, c.end, category, c.form, near, wide, prior, label, explained))
             columns = list(zip(*out)) if out else [[]] * len(names)
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return rows.mapInArrow(run, _FOUND)
@@ -247,16 +262,17 @@ def disclosures(rows: DataFrame, item: str = "id", text: str = "question", categ
     """(id, start, end, category, probability, information) of every candidate over the threshold, overlaps included."""
     plain = rows.select(F.col(item).cast("string").alias("id"), F.col(text).alias("text"), F.col(categories).alias("categories"), F.col(echo).alias("echo")).distinct()
     found = cut_lineage(_candidate_rows(plain))
+    marked = plain.where(F.col("categories").isNotNull()).select(F.transform("categories", lambda c: F.lower(c)).alias("categories"))
+    shares = marked.agg(F.count("*").alias("texts"), *(F.sum(F.array_contains("categories", c).cast("long")).alias(c) for c in CATEGORIES)).first()
+    share = {c: ((shares[c] or 0) + 1) / (shares["texts"] + 10) for c in CATEGORIES}
+    common = [c for c in CATEGORIES if share[c] > MOST_SHARE]
     labelled = found.where(F.col("label").isNotNull())
-    hit = F.sum(F.col("label").cast("long"))
+    hit = F.sum((F.col("label") & ~(F.col("explained") & F.col("category").isin(common))).cast("long"))
     # forms and categories are few by construction; surroundings are as many as the language has, so these are joined
     forms = labelled.groupBy("category", "form").agg(F.count("*").alias("n0"), hit.alias("h0"))
     near = labelled.groupBy("category", "near").agg(F.count("*").alias("n1"), hit.alias("h1"))
     wide = labelled.groupBy("category", "wide").agg(F.count("*").alias("n2"), hit.alias("h2"))
-    marked = plain.where(F.col("categories").isNotNull()).select(F.transform("categories", lambda c: F.lower(c)).alias("categories"))
-    shares = marked.agg(F.count("*").alias("texts"), *(F.sum(F.array_contains("categories", c).cast("long")).alias(c) for c in CATEGORIES)).first()
-    share = {c: ((shares[c] or 0) + 1) / (shares["texts"] + 10) for c in CATEGORIES}
-    base = F.element_at(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, share[c]))), F.col("category"))
+    base = F.element_at(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, min(MOST_SHARE, share[c])))), F.col("category"))
     clear = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in _CLEAR.items() for x in p)), F.col("category")), base)
     joined = found.join(F.broadcast(forms), ["category", "form"], "left").join(near, ["category", "near"], "left").join(wide, ["category", "wide"], "left")
     p0 = _smoothed("n0", "h0", clear)
