@@ -195,6 +195,11 @@ def strategy(name: str, size: int, overlap: int):
     return _split_column(STRATEGIES[name](size, overlap))
 
 
+def alike(name: str, size: int, overlap: int) -> tuple[str, int, int]:
+    """The setting that stands for all those which split as this one does: see ``STRATEGIES``."""
+    return ("semantic", size, 0) if name == "semantic" else ("recursive", size, overlap)
+
+
 def passages(docs: DataFrame, name: str | None = None, size: int | None = None, overlap: int | None = None, key: str = "source_id") -> DataFrame:
     """Passages of documents with their provenance, numbered from 0 in each document; tiny pieces are dropped first."""
     size = size or setting("chunking.chunk_size")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill.functions import rules as R, text as X
-from passagemill.operators import evaluate as E, extraction, guards as G, segmentation as S, snapshots, store, vectors as V
+from passagemill.operators import evaluate as E, extraction, guards as G, segmentation as S, snapshots, store, sweep, vectors as V
 from passagemill.plans import answer
 from passagemill.plans.fixtures import GRID, PAGES, PROBES, REPLIES
 from passagemill.sources.tables import table
@@ -439,15 +439,20 @@ def grid_best_per_strategy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sweep_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of the pages under several settings in one job: counts and lengths per cell."""
-    out = None
-    docs = _docs(spark, folder)
-    for size in (400, 600, 1000):
-        for share in (0.0, 0.1):
-            cell = S.passages(docs, "recursive", size, int(size * share)).agg(F.count("*").alias("n_chunks"), F.round(F.avg("char_len"), 1).alias("mean_chars"), F.max(X.token_estimate(F.col("text"))).alias("max_tokens"))
-            cell = cell.select(F.lit(size).alias("size"), F.lit(share).alias("overlap"), "*")
-            out = cell if out is None else out.unionByName(cell)
-    return out
+    """Recall, sizes and counters of the budget of every chunking setting of the grid, over all pages."""
+    docs = _docs(spark, folder).withColumn("page_source", F.element_at(F.split("source_id", "#"), 1))
+    return sweep.sweep(docs, table(spark, folder, "gold_question"))
+
+
+@query
+def sweep_winner(spark: SparkSession, folder: str) -> DataFrame:
+    """The setting that wins the sweep over the pages."""
+    return E.grid_winner(sweep_recall(spark, folder)).select("cell_no", "strategy", "size", "overlap_chars", "recall_at_5")
+
+
+@query
+def sweep_best_per_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    return E.best_per_strategy(sweep_recall(spark, folder)).select("strategy", "cell_no", "recall_at_5")
 
 
 # ---- plain relational queries on the star schema, as smoke tests ----
