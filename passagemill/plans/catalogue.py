@@ -270,26 +270,67 @@ def _snapshot(spark: SparkSession, folder: str, no: int) -> DataFrame:
 
 @query
 def chunk_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """The store after snapshot 2 was upserted over snapshot 1."""
+    """The store after snapshot 2 was upserted over snapshot 1, as its SQL has it; chunk_upsert_all takes every snapshot."""
     merged = store.upsert(_snapshot(spark, folder, 1), _snapshot(spark, folder, 2))
     return merged.select("chunk_id", "source_id", F.sha2("text", 256).alias("content"))
 
 
 @query
 def chunk_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of snapshot 1 that snapshot 2 no longer has."""
+    """Passages of snapshot 1 that snapshot 2 no longer has, as its SQL has it; chunk_orphans_all takes every snapshot."""
     return store.orphans(_snapshot(spark, folder, 1), _snapshot(spark, folder, 2)).select("chunk_id", "source_id")
 
 
 @query
 def chunk_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits and misses of a cache that holds the texts of snapshot 1, for those of snapshot 2."""
+    """Hits and misses of a cache that holds the texts of snapshot 1, for those of snapshot 2, as its SQL has it;
+    chunk_cache_all takes every snapshot."""
     key = F.sha2("text", 256)
     cache = _snapshot(spark, folder, 1).where("text is not null").select(key.alias("key")).distinct().withColumn("held", F.lit(1))
     known = _snapshot(spark, folder, 2).where("text is not null").select("chunk_id", key.alias("key")).join(cache, "key", "left")
     return known.agg(F.count("*").alias("total"), F.count("held").alias("hits"), F.countDistinct(F.when(F.col("held").isNull(), F.col("key"))).alias("misses"))
 
 
+def _arrived(spark: SparkSession, folder: str) -> DataFrame:
+    """Current rows of every snapshot, whatever their number."""
+    rows = table(spark, folder, "chunk").where("snapshot_no is not null")
+    return snapshots.latest_rows(rows, ["snapshot_no", "chunk_id"], F.try_to_timestamp("fetched_at"), ["source_id", "chunk_index", "text"])
+
+
+@query
+def chunk_upsert_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The store after all snapshots were upserted in order: of each passage its row in the last snapshot that has it."""
+    rows = _arrived(spark, folder)
+    last = rows.groupBy("chunk_id").agg(F.max("snapshot_no").alias("snapshot_no"))
+    return rows.join(last, ["chunk_id", "snapshot_no"], "left_semi").select("chunk_id", "source_id", F.sha2("text", 256).alias("content"))
+
+
+@query
+def chunk_orphans_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of each snapshot that the next one, snapshot_no, no longer has."""
+    from pyspark.sql import Window
+
+    rows = _arrived(spark, folder).select("snapshot_no", "chunk_id", "source_id")
+    # a row for each snapshot
+    following = rows.select("snapshot_no").distinct().withColumn("next_no", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).where("next_no is not null")
+    due = rows.join(F.broadcast(following), "snapshot_no").select(F.col("next_no").alias("snapshot_no"), "chunk_id", "source_id")
+    return due.join(rows.select("snapshot_no", "chunk_id"), ["snapshot_no", "chunk_id"], "left_anti")
+
+
+@query
+def chunk_cache_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits and misses of a cache that holds the texts of all earlier snapshots, for each snapshot after the first."""
+    rows = _arrived(spark, folder)
+    known = rows.where("text is not null").select("snapshot_no", F.sha2("text", 256).alias("key"))
+    # copies are counted first, so that a hot text is one row of each snapshot
+    counts = known.groupBy("key", "snapshot_no").agg(F.count("*").alias("n"))
+    first = counts.groupBy("key").agg(F.min("snapshot_no").alias("first_no"))
+    held = F.col("first_no") < F.col("snapshot_no")
+    after = rows.select("snapshot_no").distinct().join(F.broadcast(rows.agg(F.min("snapshot_no").alias("start"))), F.col("snapshot_no") > F.col("start")).select("snapshot_no")
+    found = counts.join(first, "key").groupBy("snapshot_no").agg(F.sum("n").alias("total"), F.sum(F.when(held, F.col("n")).otherwise(0)).alias("hits"), F.count_if(~held).alias("misses"))
+    return after.join(found, "snapshot_no", "left").fillna(0, ["total", "hits", "misses"])
+
+
 @query
 def chunk_embedded(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of current passages by the built-in encoder, each distinct text encoded once."""
