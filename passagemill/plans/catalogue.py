@@ -400,8 +400,9 @@ def gold_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def gold_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """How many gold questions missed for which reason."""
-    o = _gold(spark, folder)
-    return o.groupBy(F.coalesce(E.reason(F.lit("x"), F.lit(None).cast("string")), F.lit("hit")).alias("reason")).agg(F.count("*").alias("n"))
+    named = G.detect_scheme(F.col("question"), _names(spark, folder)).alias("detected")
+    o = _gold(spark, folder).join(table(spark, folder, "gold_question").select("id", "expected_source_id", named), "id")
+    return o.groupBy(F.coalesce(E.reason(F.col("expected_source_id"), F.col("detected")), F.lit("hit")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _names(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
