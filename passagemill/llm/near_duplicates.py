@@ -312,3 +312,10 @@ def near_duplicate_classes(links: DataFrame, members: DataFrame, item: str) -> D
         .join(ends, "rep", "left")
         .select(item, F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
+
+
+def classes_without_words(texts: DataFrame, item: str, text: str = "text") -> DataFrame:
+    """Rows as those of ``near_duplicate_classes`` for the items whose texts have no words: each is its own class, without links."""
+    without = ~F.coalesce(F.size(words(F.col(text))) > 0, F.lit(False))
+    alone = texts.where(without).select(item).distinct()
+    return alone.select(item, F.xxhash64(F.lit("no words"), F.col(item)).alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))

@@ -63,9 +63,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Class, copies and links of each current passage of the last snapshot."""
-    found = near_duplicates.near_duplicates(_last_passages(spark, folder, ["text"]), "chunk_id")
-    return near_duplicates.near_duplicate_classes(*found, "chunk_id")
+    """Class, copies and links of each current passage of the last snapshot, those without words included."""
+    passages = _last_passages(spark, folder, ["text"])
+    found = near_duplicates.near_duplicates(passages, "chunk_id")
+    return near_duplicates.near_duplicate_classes(*found, "chunk_id").unionByName(near_duplicates.classes_without_words(passages, "chunk_id"))
 
 
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
