@@ -69,6 +69,12 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(*found, "chunk_id").unionByName(near_duplicates.classes_without_words(passages, "chunk_id"))
 
 
+def doc_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that say nearly the same, wherever they are from."""
+    found = near_duplicates.near_duplicates(table(spark, folder, "documents"), "doc_id")
+    return near_duplicates.near_duplicate_pairs(*found, "doc_id")
+
+
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vector_neighbours.neighbours(table(spark, folder, "chunk_vector"), "chunk_id", "embedding")
 
@@ -111,4 +117,4 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(row, "threshold double, sentences double, positives double, precision double, recall double")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, doc_near_pairs, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores, p9_quality)}
