@@ -4,8 +4,9 @@ A regularised linear classifier scores every sentence of every text by hashed n-
 words, pairs of their shapes), its length, and whether it stands in the title line. Its labels are weak: response statuses and
 phrases of failed pages, notices, fields and stand-in copy (``_SEEDS``), unless the place quotes or explains them. It is
 fitted on a bounded sample of texts of some hosts; its threshold is set, and its quality measured, on hosts it has not
-seen. Because the classifier is linear, scoring takes a table lookup per word and per pair of words; what a word adds is
-computed once per distinct word of a worker.
+seen. The phrases are used for nothing but the labels: which texts come out, the classifier alone decides. Because it is
+linear, scoring takes a table lookup per word and per pair of words; what a word adds is computed once per distinct word
+of a worker.
 
 Defined results: a null, empty or blank text is no case; every text is scored in full; repeated rows give one row for
 each distinct id; extra columns are ignored; an empty table gives no rows.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,13 @@ from passagemill.llm.encode import slices
 from passagemill.session import spread
 
 #: Texts that are labelled for fitting, about; of their sentences without a cue, one in so many is fitted on.
-SAMPLE_TEXTS, PLAIN_SHARE = 6_000, 4
+SAMPLE_TEXTS, PLAIN_SHARE = 10_000, 4
 #: Hash buckets of the weights; strength of the regularisation; weight of a positive sentence; fitting steps.
-BUCKETS, RIDGE, POSITIVE_WEIGHT, STEPS = 1 << 20, 0.1, 4.0, 50
+BUCKETS, RIDGE, POSITIVE_WEIGHT, STEPS = 1 << 20, 0.4, 4.0, 50
 #: One host in so many is kept out of the fit.
 HELD_OUT = 5
-#: Scores (above the threshold) between which a text is a case only if one of its places also passes the exact check.
-DOUBTFUL, CERTAIN = -4.0, 2.5
+#: Thresholds that are tried on the hosts kept out.
+THRESHOLDS = tuple(t / 4 for t in range(-4, 13))
 
 _TOKEN = regex.compile(r"\n|\p{N}+(?:[.,:/-]\p{N}+)*|[\p{L}\p{M}]+|_+|[^\s\p{L}\p{M}\p{N}_]+")
 _ENDS = frozenset("\n . ! ? । … !! ?! - – —".split(" "))
@@ -66,8 +68,8 @@ _QUOTES = "\"'`“”‘’„"
 _TOLD = regex.compile(r"\b(?:explains?|explained|phrase|says?|said|saw|seen|wrote|writes|calls?|called|designers?|means?|report|recorded|steps|leaflet|brochure|kept|sagt|nennt|dice|dijo|appelle|कहते)\b", regex.I)
 #: A sentence about a scheme tells of something that happened to it.
 _ABOUT = regex.compile(r"\b(?:of|for|from)\s+(?:[\w-]+\s+){1,4}fund\b", regex.I)
-#: A told message lies in a sentence at least this long; messages themselves are short.
-_TOLD_LENGTH = 70
+#: A sentence that tells of a message has more to say than the message, which takes less than this share of it.
+_TOLD_SHARE = 0.5
 _CUE = regex.compile(r"script|404|50[0-4]|403|lorem|ipsum|placeholder|template|field|sample|copy|page|server|access|session|maintenance|unavailable|denied|undefined|error|request|moved|human|insert|code|browser|cookie|[{}\[\]<>$#%_@`]", regex.I)
 
 
@@ -85,7 +87,7 @@ def _told(text: str, a: int, b: int) -> bool:
     left = max(text.rfind(x, line, a) for x in (". ", "! ", "? ", "। "))
     right = min((e for x in (". ", "! ", "? ", "। ") if (e := text.find(x, b, stop)) >= 0), default=stop)
     sentence = text[line if left < 0 else left + 2 : right]
-    if len(sentence) >= _TOLD_LENGTH and (_TOLD.search(sentence) or _ABOUT.search(sentence)):
+    if b - a < _TOLD_SHARE * len(sentence) and (_TOLD.search(sentence) or _ABOUT.search(sentence)):
         return True
     return a > 0 and text[a - 1] in _QUOTES and text[b : b + 2].strip(",. ")[:1] in tuple(_QUOTES)
 
@@ -109,10 +111,6 @@ def _shape(token: str) -> str:
     return "9" * min(len(token), 4) if token[0].isnumeric() else token.lower()
 
 
-def _word_bucket(token: str) -> int:
-    return zlib.crc32(_shape(token).encode("utf-8", "surrogatepass")) % BUCKETS
-
-
 _ROWS = tuple(map(frozenset, ("asdfghjkl", "qwertyuiop", "zxcvbnm")))
 
 
@@ -130,12 +128,10 @@ def _kind(token: str) -> str:
     return next((f"row{i}" for i, row in enumerate(_ROWS) if letters <= row), "w")
 
 
-def _kind_hash(token: str) -> int:
-    return zlib.crc32(b"kind " + _kind(token).encode("utf-8", "surrogatepass"))
-
-
-def _word_hash(token: str) -> int:
-    return zlib.crc32(_shape(token).encode("utf-8", "surrogatepass"))
+@lru_cache(1 << 17)
+def _hashes(token: str) -> tuple[int, int]:
+    """Hash values of a word and of its kind."""
+    return zlib.crc32(_shape(token).encode("utf-8", "surrogatepass")), zlib.crc32(b"kind " + _kind(token).encode("utf-8", "surrogatepass"))
 
 
 def _pair_buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,10 +173,9 @@ def sentences(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
 
 def _buckets(tokens: list[str], title: bool) -> np.ndarray:
     """All features of a sentence, as 32-bit integers."""
-    own = [_word_bucket(t) for t in tokens]
-    h, k = (np.array([f(t) for t in tokens], np.uint64) for f in (_word_hash, _kind_hash))
-    extra = [_BIAS, _LENGTH_BUCKETS[_length_class(np.array(len(tokens)))], *([_TITLE] if title else [])]
-    return np.concatenate([own, _pair_buckets(h[:-1], h[1:]), _pair_buckets(k[:-1], k[1:]), extra]).astype(np.int32)
+    both = np.array([_hashes(t) for t in tokens], np.uint64).T
+    extra = [_BIAS, _LENGTH_BUCKETS[min(len(tokens).bit_length() - 1, 11)], *([_TITLE] if title else [])]
+    return np.concatenate([both[0] % BUCKETS, _pair_buckets(both[:, :-1], both[:, 1:]).ravel(), extra]).astype(np.int32)
 
 
 @dataclass
@@ -257,8 +252,11 @@ _FIELDS = (
 #: What looks like a field at first sight and is ordinary writing.
 _ORDINARY = "[1]|[4]|[A]|[B]|[sic]|(a/b)|(see below)|x < y|a > b|<Annex>|{A, B}|{Growth, IDCW}|100%|5 %|$5|#3|* 2|name_of@mail.example|§ 4|&amp;|\"so called\"|'as is'|**note**".split("|")
 #: Of the plain sentences that are fitted on, one in so many also comes with a field set into it, with the same kind of
-#: field in quotes (as in texts that explain it), with ordinary signs, and torn. Sentences of keys struck at random, of each kind.
-WITH_FIELD, WITH_QUOTED, WITH_ORDINARY, TORN, MASHED = 2, 6, 8, 3, 60
+#: field in quotes (as in texts that explain it), with ordinary signs, torn, and with stray characters.
+#: MASHED: sentences of keys struck at random, of each kind.
+WITH_FIELD, WITH_QUOTED, WITH_ORDINARY, TORN, MASHED, NOISY = 2, 6, 8, 3, 60, 4
+#: Stray characters that get into texts, within words as well.
+_STRAY = ("\f", "\t\t", "\u2028", "\u200b", "\ufeff", "\xa0\xa0", "     ", "=====", "0000", "№", "ß", "İ", "→", "🚀", "基金", "ファンド", "नि")
 
 
 def _variants(tokens: list[str], seed: int) -> Iterator[tuple[list[str], bool]]:
@@ -268,9 +266,16 @@ def _variants(tokens: list[str], seed: int) -> Iterator[tuple[list[str], bool]]:
     for share, quote in ((WITH_FIELD, ""), (WITH_QUOTED, "\"'`"[seed % 3])):
         if rng.integers(share) == 0:
             field = _FIELDS[rng.integers(len(_FIELDS))]
+            if rng.integers(2):  # what a field is called says little
+                inner = "_".join(tokens[int(rng.integers(len(tokens)))] for _ in range(int(rng.integers(1, 3))))
+                field = field.replace("name", inner.lower()).replace("NAME", inner.upper())
             yield _TOKEN.findall(" ".join([*tokens[:at], quote + field + quote, *tokens[at + 1 :]])), not quote
     if rng.integers(WITH_ORDINARY) == 0:
         yield _TOKEN.findall(" ".join([*tokens[:at], _ORDINARY[rng.integers(len(_ORDINARY))], *tokens[at:]])), False
+    if rng.integers(NOISY) == 0:
+        cut = int(rng.integers(len(tokens[at]) + 1))
+        stray = _STRAY[rng.integers(len(_STRAY))] if rng.integers(4) else rng.bytes(int(rng.integers(4, 40))).hex()
+        yield _TOKEN.findall(" ".join([*tokens[:at], tokens[at][:cut] + stray + tokens[at][cut:], *tokens[at + 1 :]])), False
     if len(tokens) > 2 and rng.integers(TORN) == 0:
         cut = int(rng.integers(1, len(tokens)))
         part = list(tokens[:cut] if rng.random() < 0.5 else tokens[cut:])
@@ -338,11 +343,11 @@ def train(documents: DataFrame, item: str = "doc_id", text: str = "text", host:
     score = np.array([weights[x].sum() for x in np.split(flat[np.repeat(seen, size)], np.cumsum(size[seen])[:-1])]) if seen.any() else np.zeros(0)
     truth = label[seen]
     best, threshold = -1.0, 0.0
-    for t in np.arange(0.0, 3.01, 0.25):
+    for t in THRESHOLDS:
         hit = score > t
         f = 2 * (hit & truth).sum() / max(hit.sum() + truth.sum(), 1)
         if f > best + 1e-9 or abs(f - best) <= 1e-9 and abs(t) < abs(threshold):
-            best, threshold = f, float(t)
+            best, threshold = f, t
     hit = score > threshold
     quality = {"sentences": float(len(truth)), "positives": float(truth.sum()), "precision": float((hit & truth).sum() / max(hit.sum(), 1)), "recall": float((hit & truth).sum() / max(truth.sum(), 1))}
     return Classifier(weights, threshold, quality)
@@ -369,9 +374,9 @@ class _Scorer:
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             w = self.c.weights
-            self.own = np.r_[self.own, [0.0 if t in _ENDS else w[_word_bucket(t)] for t in new]]
-            self.kind = np.r_[self.kind, np.array([_kind_hash(t) for t in new], np.uint64)]
-            self.hash = np.r_[self.hash, np.array([_word_hash(t) for t in new], np.uint64)]
+            word, kind = np.array([_hashes(t) for t in new], np.uint64).T
+            self.own = np.r_[self.own, np.where([t in _ENDS for t in new], 0.0, w[(word % BUCKETS).astype(np.int64)])]
+            self.hash, self.kind = np.r_[self.hash, word], np.r_[self.kind, kind]
             self.ends = np.r_[self.ends, np.array([(t in _ENDS) + (t == "\n") for t in new], np.int8)]
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
 
@@ -418,8 +423,9 @@ def _scorer(broadcast) -> _Scorer:
     return _SCORERS[0]
 
 
-def _over_texts(documents: DataFrame, classifier: Classifier, item: str, text: str, least: float | None) -> DataFrame:
-    """Scores of all texts, or with ``least`` of those that score higher and are certain or pass the exact check."""
+def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_id", text: str = "text", least: float | None = None) -> DataFrame:
+    """(item, score): how far the most suspect sentence of each text lies above the threshold; with ``least``, of the
+    texts that score more."""
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
     schema = T.StructType([documents.schema[item], T.StructField("score", T.DoubleType())])
 
@@ -430,23 +436,12 @@ def _over_texts(documents: DataFrame, classifier: Classifier, item: str, text: s
             for a, b in slices(texts):
                 score = scorer.scores(texts[a:b]) - scorer.c.threshold
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=[item, "score"])
-                if least is not None:
-                    out = out.filter(pa.array([s > CERTAIN or s > least and bool(labelled_places(t)) for s, t in zip(score.tolist(), texts[a:b])], pa.bool_()))
-                yield out
+                yield out if least is None else out.filter(pa.array(score > least))
 
     return spread(documents.select(item, text)).mapInArrow(run, schema)
 
 
-def score_texts(documents: DataFrame, classifier: Classifier, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item, score): how far the most suspect sentence of each text lies above the threshold."""
-    return _over_texts(documents, classifier, item, text, None)
-
-
 def residue(documents: DataFrame, item: str = "doc_id", text: str = "text", host: str = "source", classifier: Classifier | None = None) -> DataFrame:
-    """(item, score) of the texts that hold residue in place of content.
-
-    The classifier proposes every text that scores over DOUBTFUL. From CERTAIN on it decides alone; below, the text is
-    a case if a seed stands in it that is neither quoted nor told of.
-    """
+    """(item, score) of the texts that hold residue in place of content: those over the classifier's threshold."""
     classifier = classifier or train(documents, item, text, host)
-    return _over_texts(documents, classifier, item, text, DOUBTFUL).groupBy(item).agg(F.max("score").alias("score"))
+    return score_texts(documents, classifier, item, text, 0.0).groupBy(item).agg(F.max("score").alias("score"))
