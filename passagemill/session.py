@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if shared is None and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="passagemill-"))
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="passagemill-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -27,6 +33,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, for what is read more than once, by few of its columns.
+
+    The table is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the driver is ending; its JVM may be gone
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-bound stage at least as many tasks as the cluster has cores.
 
