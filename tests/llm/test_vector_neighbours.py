@@ -58,19 +58,38 @@ def test_few_vectors(spark, n):
 # places of more than 15 rows are divided in the second case
 @pytest.mark.parametrize("full", [20_000, 15])
 def test_pigeonhole_pairs_come_out_once(spark, full):
-    bits = V.SUBSTRINGS * 8
+    width, per_word, parts = 6, 10, 38
     rng = np.random.default_rng(3)
-    code = rng.integers(0, 2, (300, bits))
-    for i in range(0, 300, 2):  # pairs within the distance that must be found
+    code = rng.integers(0, 2, (300, width * parts))
+    for i in range(0, 300, 2):  # pairs within the distance that must be found: some part stays as it is
         code[i + 1] = code[i]
-        flips = rng.choice(bits, rng.integers(0, V.SUBSTRINGS * (V.RADIUS + 1)), replace=False)
+        flips = rng.choice(width * parts, rng.integers(0, parts), replace=False)
         code[i + 1, flips] ^= 1
-    parts = code.reshape(300, V.SUBSTRINGS, 8) @ (1 << np.arange(8))
-    names = ", ".join(["id long", *(f"part_{i} long" for i in range(V.SUBSTRINGS))])
-    df = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(parts)], names)
-    places = "place long, id long, " + ", ".join(f"c{i} long" for i in range(V.SUBSTRINGS // 2))
-    most = V.SUBSTRINGS * (V.RADIUS + 1) - 1
-    filed = V._meetings(df.mapInArrow(V._file(bits), places), full).repartition(3, "meeting").sortWithinPartitions("meeting")
-    got = [tuple(r) for r in filed.mapInArrow(V._meet(bits, most), "a long, b long").collect()]
+    bits = np.zeros((300, V.WORDS, 64), bool)
+    bits[:, :, : width * per_word] = np.pad(code, ((0, 0), (0, V.WORDS * per_word * width - code.shape[1]))).reshape(300, V.WORDS, -1)
+    words = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    codes = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(words)], "id long, code binary").repartition(3)
+    most = (parts - 1, parts - 1)
+    plan = V.Plan(width, per_word, parts, np.zeros(1), np.zeros((1, V.WORDS * per_word * width), np.float32), most, 1.0)
+    got = [tuple(r) for r in V._near_pairs(codes, plan, 300, full).collect()]
     assert len(got) == len(set(got))
-    assert set(got) == {(i, j) for i in range(300) for j in range(i + 1, 300) if (code[i] != code[j]).sum() <= most}
+    first = code[:, : width * per_word]
+    near = lambda i, j: (code[i] != code[j]).sum() < parts and (first[i] != first[j]).sum() < parts
+    assert set(got) == {(i, j) for i in range(300) for j in range(i + 1, 300) if near(i, j)}
+
+
+@pytest.mark.parametrize("n", [60_000, 1_000_000, 30_000_000])
+def test_recall_at_the_floor_holds_for_any_number(n):
+    vectors = V.unit(np.random.default_rng(6).permutation(np.array(list(made(5, 9000, 384).values()))))
+    learned, unseen = vectors[:7000], vectors[7000:]
+    plan = V.make_plan(learned, n)
+    assert plan.recall >= V.RECALL
+    for a, b in V.at_floor(unseen, V.MIN_SCORE, 3000, 1):
+        assert np.allclose((a * b).sum(1), V.MIN_SCORE) and V.meeting(plan, a, b).mean() >= 0.94
+
+
+def test_repeated_ids_count_with_the_greatest_vector(spark):
+    x = [[0.0] * 383 + [1.0], [1.0] + [0.0] * 383, [0.9] + [0.1] + [0.0] * 382]
+    rows = [("a", x[0], None, None), ("a", x[1], None, None), ("b", x[2], None, None), ("b", x[2], None, None), ("c", x[0], None, None)]
+    got = V.neighbours(spark.createDataFrame(rows, SCHEMA), "chunk_id", "embedding").collect()
+    assert {(r.chunk_id, r.neighbour) for r in got} == {("a", "b"), ("b", "a")}
