@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill import schemas
@@ -26,10 +24,10 @@ def write_sources_csv(docs: DataFrame, path: str, note: str = "") -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk_id, embedding) of a folder; none if it isn't there or can't be read."""
+    """(chunk_id, embedding) of a folder; none if it isn't there, without the files of it that can't be read."""
     try:
-        return spark.read.schema(schemas.VECTOR).parquet(path)
-    except Exception:  # noqa: BLE001 - the reader raises different errors for missing and for damaged files
+        return spark.read.schema(schemas.VECTOR).option("ignoreCorruptFiles", True).parquet(path)
+    except Exception:  # noqa: BLE001 - the reader raises different errors for what isn't there
         return spark.createDataFrame([], schemas.VECTOR)
 
 
@@ -45,13 +43,22 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("questions").alias("q")).select("q.*")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The path and the file system that holds it, whatever its kind."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write a table beside the one at ``path`` and put it in its place, so that a failed write loses nothing."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    beside, old = jvm.org.apache.hadoop.fs.Path(path + "._new"), jvm.org.apache.hadoop.fs.Path(path + "._old")
+    target, fs = _file_system(spark, path)
+    beside, old = (_file_system(spark, path + x)[0] for x in ("._new", "._old"))
     df.write.mode("overwrite").parquet(path + "._new")
     fs.delete(old, True)
     if fs.exists(target):
@@ -60,6 +67,37 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def restore_folders(spark: SparkSession, path: str) -> None:
+    """Undo a ``replace_folders`` that broke off: folders that were put aside come back."""
+    old, fs = _file_system(spark, path + "._old")
+    if not fs.exists(old):
+        return
+    for f in fs.listStatus(old):
+        target = _file_system(spark, f"{path}/{f.getPath().getName()}")[0]
+        fs.delete(target, True)
+        fs.rename(f.getPath(), target)
+    fs.delete(old, True)
+
+
+def replace_folders(df: DataFrame, path: str, column: str, values: list[int]) -> None:
+    """Put the rows of ``df`` in the place of those folders of the table at ``path``, divided by ``column``, that hold
+    ``values``; the rows are written beside before anything is touched. ``restore_folders`` undoes what broke off."""
+    spark = df.sparkSession
+    target, fs = _file_system(spark, path)
+    df.repartition(column).write.mode("overwrite").partitionBy(column).parquet(path + "._new")
+    old = _file_system(spark, path + "._old")[0]
+    fs.mkdirs(target)
+    fs.mkdirs(old)
+    for v in values:
+        there, beside, aside = (_file_system(spark, f"{p}/{column}={v}")[0] for p in (path, path + "._new", path + "._old"))
+        if fs.exists(there):
+            fs.rename(there, aside)
+        if fs.exists(beside):
+            fs.rename(beside, there)
+    fs.delete(old, True)
+    fs.delete(_file_system(spark, path + "._new")[0], True)
+
+
 METRIC_KEYS = [f.split()[0] for f in schemas.METRIC.split(", ")]
 
 
@@ -75,4 +113,4 @@ def append_metrics(spark: SparkSession, path: str, records: list[dict]) -> bool:
 
 def status(spark: SparkSession, paths: dict[str, str]) -> dict[str, int | None]:
     """Rows of each table, None for those that are missing."""
-    return {name: spark.read.parquet(p).count() if os.path.exists(p) else None for name, p in paths.items()}
+    return {name: spark.read.parquet(p).count() if exists(spark, p) else None for name, p in paths.items()}
