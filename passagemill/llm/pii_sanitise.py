@@ -10,7 +10,7 @@ a typed placeholder; the rest of the text stays as it is. The label of a categor
 may have, counts only for the candidates of a text that are announced or clear, if it has such.
 
 Labels are the rows that name their categories (in any letter case, at times incomplete) and the values that must not
-be echoed. Words that announce or rule out a value act as a prior, which matters only where the corpus has few cases.
+be echoed. No text is judged by its own labels. Words that announce or rule out a value act as a prior, which matters only where the corpus has few cases.
 
 Defined results: null and empty texts have no values and come back as they are; repeated rows count once; where values
 overlap, the one of the clearer form counts; extra columns are ignored; an empty table gives no rows.
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from passagemill.session import cut_lineage
 
@@ -36,27 +36,29 @@ MOST_SHARE = LEAST_PROBABILITY / math.exp(LEAST_INFORMATION + 1e-9)
 _EDGE = r"(?<![\p{L}\p{M}\p{N}])"
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)", r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)"
 _EMAIL = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*(?:{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)+|\s+at\s+[\p{{L}}\p{{N}}-]+(?:\s+dot\s+[\p{{L}}\p{{N}}-]+)+)", regex.I
+    rf"(?<![\p{{L}}\p{{N}}._%+-])(?:[\p{{L}}\p{{N}}_-]+\s?(?:[(\[{{]\s?dot\s?[)\]}}]|\sdot\s)\s?)*+[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*(?:{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)+|\s+at\s+[\p{{L}}\p{{N}}-]+(?:\s+dot\s+[\p{{L}}\p{{N}}-]+)+)", regex.I
 )
 _PAN = regex.compile(rf"{_EDGE}(?:[A-Z]{{3}}[\s.-]?[A-Z]{{2}}[\s.-]?\d{{4}}[\s.-]?[A-Z]|[a-z]{{5}}[.-]?\d{{4}}[.-]?[a-z]|[A-Za-z]{{5}}\d{{4}}[A-Za-z])(?![\p{{L}}\p{{N}}])")
 _PAN_LOOSE = regex.compile(rf"{_EDGE}[a-z]{{3}}\s?[a-z]{{2}}\s\d{{4}}\s[a-z](?![\p{{L}}\p{{N}}])", regex.I)
 _IFSC = regex.compile(rf"{_EDGE}[A-Z]{{4}}[\s.-]?0[\s.-]?[A-Z0-9]{{6}}(?![\p{{L}}\p{{N}}])", regex.I)
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|शून्य|एक|दो|तीन|चार|पाँच|पांच|छह|छः|सात|आठ|नौ)"
 _SPELLED = regex.compile(rf"{_EDGE}(?:(?:double|triple)\s+)?{_DIGIT_WORD}(?:[\s,-]+(?:(?:double|triple)\s+)?{_DIGIT_WORD}){{3,17}}(?![\p{{L}}\p{{M}}\p{{N}}])", regex.I)
-_BRACKETED = regex.compile(r"(?<![\p{L}\p{N}])\(0?\d{2,4}\)[\s-]?\d{3,4}[\s.-]?\d{3,4}(?!\d)")
-_PLUS = regex.compile(r"\+\d{1,3}[\s .-]?(?:\(\d{2,4}\)[\s-]?)?\d{2,5}(?:[\s .-]?\d{2,6}){1,3}(?!\d)")
+_BRACKETED = regex.compile(r"(?<![\p{L}\p{N}])\((?:\+?\d{1,3}|0?\d{2,5})\)[\s-]?\d{2,5}(?:[\s.-]?\d{2,5}){1,3}(?!\d)")
+_PLUS = regex.compile(r"(?:\+|(?<![\p{L}\p{N}])00(?=[1-9]))\s?\d{1,3}[\s\xa0.-]?(?:\(\d{1,5}\)[\s-]?)?\d{1,5}(?:[\s\xa0.-]?\d{1,6}){1,9}(?!\d)")
 _GROUPS = regex.compile(r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][.,/-])\d+(?:[  .\-‐-–]\d+)*(?![\p{L}\p{N}]|[.,/-]\d)")
-_HOUSE = r"(?:(?:flat|house|plot|door|apt|apartment|unit|villa|shop|room|h\.?\s?no|मकान|फ्लैट)\.?\s*(?:no\.?|number|नंबर)?\s*#?\s*\d+[\p{L}\d]*(?:[/-][\p{L}\d]+)*|#?\d{1,4}[\p{L}]?(?:[/-][\p{L}\d]{1,4}){0,3}(?![\p{L}\p{N}]))"
+_SPOKEN_AT = regex.compile(r"(?:[\s(\[{])at(?:[\s)\]}])", regex.I)
+_DIGITS = regex.compile(r"\d+")
+_HOUSE = r"(?:(?:flat|house|plot|door|apt|apartment|unit|villa|shop|room|suite|tower|wing|floor|bungalow|quarter|h\.?\s?no|d\.?\s?no|मकान|फ्लैट|प्लॉट)\.?\s*(?:no\.?|number|नंबर)?\s*[:#-]?\s*(?:[\p{L}]?[-/]?\d+[\p{L}\d]*|[A-Z]\b)(?:[/-][\p{L}\d]+)*|\d{1,2}(?:st|nd|rd|th)\s+floor|[A-Z][-/]\d{1,4}(?![\p{L}\p{N}])|#?\d{1,4}[\p{L}]?(?:[/-][\p{L}\d]{1,4}){0,3}(?![\p{L}\p{N}]))"
 _ROAD = r"(?:street|st|road|rd|nagar|marg|lane|ln|layout|cross|gali|avenue|ave|colony|chowk|circle|drive|enclave|vihar|path|bagh|puram|main|block|square|way|boulevard|close|terrace|gardens?)"
 _NO_FIRM = r"(?!\s+(?:partners|capital|bank|trust|funds?|advis[eo]rs|securities|ltd|limited|plc|group|associates|holdings|investments?|index|steel|mills|works)\b)"
 _ADDRESS = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}/.-]){_HOUSE}(?:,?\s+{_HOUSE})?,?\s+(?:(?:(?!{_ROAD}\b)[\p{{L}}\p{{M}}'’-]+\s+){{1,3}}?{_ROAD}\b\.?{_NO_FIRM}|(?:sector|phase|block|ward)\s+\d+[\p{{L}}]?)"
+    rf"(?<![\p{{L}}\p{{N}}/.-]){_HOUSE}(?:,?\s+{_HOUSE}){{0,3}},?\s+(?:(?:[\p{{L}}'’-]+\s+){{1,3}}(?:apartments?|heights|towers?|residency|society|villas?|complex|mansion|court|house),\s+(?:{_HOUSE},?\s+)?)?(?:(?:(?!{_ROAD}\b)[\p{{L}}\p{{M}}'’-]+\s+){{1,3}}?{_ROAD}\b\.?{_NO_FIRM}|(?:sector|phase|block|ward)\s+\d+[\p{{L}}]?)"
     rf"(?:[,\s]+(?:apt|flat|unit|sector|phase)\.?\s+\d+[\p{{L}}]?)?(?:\s*[,\n]\s*[\p{{L}}\p{{M}}'’-]+(?:\s*[-–,]?\s*(?:\p{{Lu}}{{2}}\s+)?\d{{3}}\s?\d{{2,3}}(?!\d))?)?",
     regex.I,
 )
-_TITLE = r"(?:(?:mrs?|ms|miss|dr|shri|sri|smt|prof|श्री|श्रीमती|सुश्री|डॉ)\b\.?\s+)"
+_TITLE = r"(?:(?:mrs?|ms|mx|miss|dr|shri|shrimati|sri|smt|kum|kumari|prof|adv|capt|col|maj|sir|madam|er|श्री|श्रीमती|सुश्री|डॉ|कुमारी)\b\.?\s+)"
 _ANNOUNCE = regex.compile(
-    rf"{_EDGE}(?:(?:(?:my|full|his|her)\s+)?name(?:\s+is\b|\s*[:=-])|i\s+am\b|i['’]m\b|this\s+is\b|(?:kind\s+|best\s+|warm\s+)?regards\b|sincerely\b|yours\s+\w+|thanks\b|held\s+by\b|signed(?:\s+by)?\b|holder\b|nominee\s+is\b|on\s+behalf\s+of|call\s+me\b|(?:मेरा\s+|मेरी\s+)?नाम(?![\p{{L}}\p{{M}}])|मैं(?![\p{{L}}\p{{M}}]))[\s,:–-]*{_TITLE}?|{_EDGE}{_TITLE}",
+    rf"{_EDGE}(?:(?:(?:my|full|his|her)\s+)?name(?:\s+is\b|\s*[:=-])|i\s+am\b|i['’]m\b|this\s+is\b|(?:kind\s+|best\s+|warm\s+)?regards\b|sincerely\b|yours\s+\w+|thanks\b|held\s+by\b|signed(?:\s+by)?\b|holder\b|nominee\s+is\b|on\s+behalf\s+of|call\s+me\b|(?:मेरा\s+|मेरी\s+)?नाम(?![\p{{L}}\p{{M}}])|मैं(?![\p{{L}}\p{{M}}]))[\s,:–-]*{_TITLE}*|{_EDGE}{_TITLE}+",
     regex.I,
 )
 _NAME_PART = regex.compile(r"(?:\p{L}\.|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*)(?:[  ]+|(?=[,.;:!?।)\n]|$))")
@@ -98,42 +100,51 @@ class Candidate:
 
 
 def _digit_categories(groups: list[int], separator: str, first: str) -> tuple[str, ...]:
-    """What a number of these groups of digits may be."""
+    """What a number of these groups of digits may be: groupings in use, and digits in groups of at most two, as they
+    are read out."""
     n, g = sum(groups), tuple(groups)
+    read_out = len(g) > 3 and max(g[:-1]) <= 2 and g[-1] <= 3
     out = []
-    if n == 12 and g in ((12,), (4, 4, 4), (3, 3, 3, 3), (6, 6)):
+    if n == 12 and (read_out or g in ((12,), (4, 4, 4), (3, 3, 3, 3), (6, 6))):
         out.append("aadhaar")
-    if g in ((10,), (5, 5), (3, 3, 4), (4, 3, 3), (2, 4, 4), (4, 6), (5, 3, 2)) or n == 11 and first == "0" and g in ((11,), (6, 5), (1, 5, 5), (1, 10), (4, 3, 4), (1, 3, 3, 4)) or n == 12 and g in ((2, 10), (2, 5, 5), (12,)) and first == "9":
+    national = n == 10 or n == 11 and first == "0" or n in (12, 13) and first == "9"
+    if national and (read_out or g in ((10,), (5, 5), (3, 3, 4), (4, 3, 3), (2, 4, 4), (4, 6), (3, 7), (5, 3, 2), (3, 2, 2, 3), (3, 2, 3, 2), (11,), (6, 5), (1, 5, 5), (1, 10), (4, 3, 4), (4, 7), (3, 8), (1, 3, 3, 4), (2, 10), (2, 5, 5), (2, 3, 3, 4))) or g in ((12,),) and first == "9":
         out.append("phone")
-    if separator != "." and 9 <= n <= 18 and (len(g) == 1 or len(g) >= 3 and all(3 <= x for x in g) and all(x <= 5 for x in g[:-1])):
+    if separator != "." and 9 <= n <= 18 and (read_out or len(g) == 1 or len(g) >= 3 and all(3 <= x for x in g[:-1]) and all(x <= 5 for x in g[:-1])):
         out.append("account")
-    if g in ((4,), (6,), (3, 3), (2, 2), (2, 2, 2)) and separator != ".":
+    if (n in (4, 6) and max(g) == 1 or g in ((4,), (6,), (3, 3), (2, 2), (2, 2, 2))) and separator != ".":
         out.append("otp")
     return tuple(out)
 
 
-#: A number has this many groups of digits at most.
-MOST_GROUPS = 6
+#: Digits that a value has at most; no longer run of groups is one number.
+MOST_DIGITS = 18
 
 
 def _numbers(text: str) -> Iterator[Candidate]:
     for m in _GROUPS.finditer(text):
-        parts = [(p.start() + m.start(), p.end() + m.start()) for p in regex.finditer(r"\d+", m[0])]
+        parts = [(p.start() + m.start(), p.end() + m.start()) for p in _DIGITS.finditer(m[0])]
         marks = [text[a[1] : b[0]] for a, b in zip(parts, parts[1:])]
         i = 0
         while i < len(parts):
-            for j in range(min(len(parts), i + MOST_GROUPS), i, -1):
-                if len({*marks[i : j - 1]}) > 1 or "." in marks and (i, j) != (0, len(parts)):
+            last, digits, groups = i, 0, []
+            while last < len(parts) and digits + parts[last][1] - parts[last][0] <= MOST_DIGITS and (last < i + 2 or marks[last - 1] == marks[i]):
+                groups.append(parts[last][1] - parts[last][0])
+                digits += groups[-1]
+                last += 1
+            for j in range(last, i, -1):
+                if "." in marks and (i, j) != (0, len(parts)):  # parts of decimals are no values
                     continue
-                groups = [b - a for a, b in parts[i:j]]
+                own = groups[: j - i]
                 mark = marks[i] if j - i > 1 else ""
-                categories = _digit_categories(groups, mark, text[parts[i][0]])
+                categories = _digit_categories(own, mark, text[parts[i][0]])
                 if categories:
                     lead = "0" if text[parts[i][0]] == "0" else "6" if text[parts[i][0]] in "6789" else "1"
                     for k in range(i, j - 1) if j - i > 2 else ():  # a number may follow the last digits of an address
-                        if groups[k - i : k - i + 2] == [5, 5] and text[parts[k][0]] in "6789":
+                        if own[k - i : k - i + 2] == [5, 5] and text[parts[k][0]] in "6789":
                             yield Candidate(parts[k][0], parts[k + 1][1], "n5+5 within", ("phone",))
-                    yield Candidate(parts[i][0], parts[j - 1][1], f"n{'+'.join(map(str, groups))} {mark.strip()}{lead if sum(groups) > 9 else ''}", categories)
+                    form = "+".join(map(str, own)) if len(own) < 5 else "read out"
+                    yield Candidate(parts[i][0], parts[j - 1][1], f"n{sum(own)}:{form} {mark.strip()}{lead if sum(own) > 9 else ''}", categories)
                     i = j
                     break
             else:
@@ -142,25 +153,27 @@ def _numbers(text: str) -> Iterator[Candidate]:
 
 def candidates(text: str) -> list[Candidate]:
     """Places with the form of a value; overlaps are left to the decision."""
-    out = [Candidate(m.start(), m.end(), "email@" if "@" in m[0] else "email at", ("email",)) for m in _EMAIL.finditer(text)]
-    pans = [m for m in _PAN.finditer(text)]
+    out = [Candidate(m.start(), m.end(), "email@" if "@" in m[0] else "email at", ("email",)) for m in _EMAIL.finditer(text)] if "@" in text or _SPOKEN_AT.search(text) else []
+    numeric = _DIGITS.search(text) is not None
+    pans = [m for m in _PAN.finditer(text)] if numeric else []
     out += [Candidate(m.start(), m.end(), "pan", ("pan",)) for m in pans]
-    out += [Candidate(m.start(), m.end(), "pan loose", ("pan",)) for m in _PAN_LOOSE.finditer(text) if not any(m.start() < p.end() and p.start() < m.end() for p in pans)]
-    out += [Candidate(m.start(), m.end(), "ifsc", ("ifsc",)) for m in _IFSC.finditer(text)]
-    out += [Candidate(m.start(), m.end(), "phone +", ("phone",)) for m in _PLUS.finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 14]
-    out += [Candidate(m.start(), m.end(), "phone ()", ("phone",)) for m in _BRACKETED.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 11]
+    if numeric:
+        out += [Candidate(m.start(), m.end(), "pan loose", ("pan",)) for m in _PAN_LOOSE.finditer(text) if not any(m.start() < p.end() and p.start() < m.end() for p in pans)]
+        out += [Candidate(m.start(), m.end(), "ifsc", ("ifsc",)) for m in _IFSC.finditer(text)]
+        out += [Candidate(m.start(), m.end(), "phone +", ("phone",)) for m in _PLUS.finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
+        out += [Candidate(m.start(), m.end(), "phone ()", ("phone",)) for m in _BRACKETED.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 13]
+        out += _numbers(text)
+        out += [Candidate(m.start(), m.end(), "address", ("address",)) for m in _ADDRESS.finditer(text)]
     for m in _SPELLED.finditer(text):
         words = regex.findall(r"[\p{L}\p{M}]+", m[0].lower())
         n = sum({"double": 1, "triple": 2}.get(w, 1) for w in words)
         categories = _digit_categories([n], "", "9") or (("account",) if 9 <= n <= 18 else ())
         if categories:
             out.append(Candidate(m.start(), m.end(), f"spelled {n}", categories))
-    out += _numbers(text)
-    out += [Candidate(m.start(), m.end(), "address", ("address",)) for m in _ADDRESS.finditer(text)]
     clearer = [(c.start, c.end) for c in out]
     for m in _ANNOUNCE.finditer(text):
         at, parts = m.end(), []
-        while len(parts) < 5 and (p := _NAME_PART.match(text, at)):
+        while p := _NAME_PART.match(text, at):
             word = p[0].strip("  .").lower()
             initial = len(p[0].rstrip()) == 2 and p[0].rstrip().endswith(".")
             if any(a <= p.start() < b for a, b in clearer) or word in _COMMON and not initial or not parts and word in ("mr", "mrs", "ms", "dr"):
@@ -199,8 +212,8 @@ def surroundings(text: str, c: Candidate) -> tuple[str, str, list[str]]:
     left, right = _left(text, c.start), _right(text, c.end)
     kind = c.form.split(" ")[0]
     if kind[0] == "n" and kind[1].isdigit():  # what announces a long number announces it in any length and grouping
-        digits = sum(map(int, regex.findall("[0-9]+", kind)))
-        kind = f"n{digits}" if digits < 9 else "long number"
+        digits = int(kind[1:].partition(":")[0].partition("+")[0])
+        kind = f"n{digits}" if 5 != digits < 9 else "long number"
     if left:
         near, wide = left[-1], " ".join(left)
         if c.categories == ("name",):
@@ -218,7 +231,7 @@ def _prior(category: str, words: list[str]) -> float | None:
     return 0.05 if any(w in RULED_OUT for w in words) else None
 
 
-_FOUND = "id string, start int, end int, category string, form string, near string, wide string, prior double, label boolean, explained boolean"
+_FOUND = "id string, start int, end int, category string, form string, near string, wide string, prior double, label boolean, explained boolean, own array<int>"
 
 
 def _candidate_rows(rows: DataFrame) -> DataFrame:
@@ -239,6 +252,7 @@ def _candidate_rows(rows: DataFrame) -> DataFrame:
                         if c.end > upto[x]:
                             widest.add((x, c.start, c.end))
                             upto[x] = c.end
+                first, own = len(out), {}
                 for c, near, wide, words in placed:
                     echoed = bool(echo) and text.startswith(echo, c.start)
                     for category in c.categories:
@@ -246,16 +260,28 @@ def _candidate_rows(rows: DataFrame) -> DataFrame:
                         prior = _prior(category, words)
                         weaker = category in likely and category not in _CLEAR and (prior or 0) <= LEAST_PROBABILITY
                         explained = not (echoed and len(c.categories) == 1) and (weaker or (category, c.start, c.end) not in widest)
-                        out.append((key, c.start, c.end, category, c.form, near, wide, prior, label, explained))
+                        keys = [(category, n, x) for n, x in enumerate((c.form, near, wide))]
+                        out.append([key, c.start, c.end, category, c.form, near, wide, prior, label, explained, keys])
+                        for k in keys if label is not None else ():
+                            seen = own.setdefault(k, [0, 0, 0])
+                            seen[0] += 1
+                            seen[1] += label
+                            seen[2] += label and explained
+                for row in out[first:]:
+                    row[-1] = [x for k in row[-1] for x in own.get(k, (0, 0, 0))]
             columns = list(zip(*out)) if out else [[]] * len(names)
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return rows.mapInArrow(run, _FOUND)
 
 
-def _smoothed(n: str, hits: str, parent):
-    return (F.coalesce(F.col(hits), F.lit(0)) + SMOOTHING * parent) / (F.coalesce(F.col(n), F.lit(0)) + SMOOTHING)
+def _smoothed(level: int, parent: Column, common: list[str]) -> Column:
+    """Share of labelled hits at a level of surroundings, without the labels of the candidate's own text."""
+    own = lambda i: F.element_at("own", 3 * level + i)
+    own_hits = own(2) - F.when(F.col("category").isin(common), own(3)).otherwise(0)
+    n = F.coalesce(F.col(f"n{level}") - own(1), F.lit(0))
+    return (F.coalesce(F.col(f"h{level}") - own_hits, F.lit(0)) + SMOOTHING * parent) / (n + SMOOTHING)
 
 
 def disclosures(rows: DataFrame, item: str = "id", text: str = "question", categories: str = "pii_categories", echo: str = "must_not_echo") -> DataFrame:
@@ -275,16 +301,18 @@ def disclosures(rows: DataFrame, item: str = "id", text: str = "question", categ
     base = F.element_at(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, min(MOST_SHARE, share[c])))), F.col("category"))
     clear = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in _CLEAR.items() for x in p)), F.col("category")), base)
     joined = found.join(F.broadcast(forms), ["category", "form"], "left").join(near, ["category", "near"], "left").join(wide, ["category", "wide"], "left")
-    p0 = _smoothed("n0", "h0", clear)
-    p1 = _smoothed("n1", "h1", F.coalesce(F.col("prior"), p0))
-    p2 = _smoothed("n2", "h2", F.coalesce((p1 + F.col("prior")) / 2, p1))
+    p0 = _smoothed(0, clear, common)
+    p1 = _smoothed(1, F.coalesce(F.col("prior"), p0), common)
+    p2 = _smoothed(2, F.coalesce((p1 + F.col("prior")) / 2, p1), common)
     scored = joined.select("id", "start", "end", "category", p2.alias("probability"), F.log(p2 / base).alias("information"))
     return scored.where((F.col("probability") >= LEAST_PROBABILITY) & (F.col("information") >= LEAST_INFORMATION))
 
 
 def settle(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-    """Of overlapping values, the one of the clearer form, then the likelier, then the longer; in order of place."""
+    """Of overlapping values, the one of the clearer form, then the likelier, then the longer; in order of place. A part
+    of a value is no value of the same category."""
     out: list[tuple[int, int, str, float]] = []
+    found = [v for v in found if not any(o[2] == v[2] and o[0] <= v[0] and v[1] <= o[1] and o[:2] != v[:2] for o in found)]
     for v in sorted(found, key=lambda v: (_RANK[v[2]], -v[3], v[0] - v[1], v[0])):
         if not any(v[0] < o[1] and o[0] < v[1] for o in out):
             out.append(v)

@@ -82,6 +82,27 @@ def test_forms():
     assert {v for v, c in of("a b" * 5000) if c} == set()
 
 
+@pytest.mark.parametrize(
+    "text, value, category",
+    [
+        ("Ring me on 9 8 7 6 5 4 3 2 1 0 now", "9 8 7 6 5 4 3 2 1 0", "phone"), ("call 98 76 54 32 10 please", "98 76 54 32 10", "phone"), ("UID 12 34 56 78 90 12 ok", "12 34 56 78 90 12", "aadhaar"),
+        ("phone 0091 98765 43210", "0091 98765 43210", "phone"), ("tel (91) 98765 43210", "(91) 98765 43210", "phone"), ("tel +91 (98765) 43210.", "+91 (98765) 43210", "phone"), ("whatsapp 040-23456789", "040-23456789", "phone"),
+        ("My name is Juan Carlos Maria de la Cruz Santos Lopez Garcia. Bye", "Juan Carlos Maria de la Cruz Santos Lopez Garcia", "name"), ("Holder Capt. Dr. Krafel Montis agrees", "Krafel Montis", "name"),
+        ("write to kra dot fel at mon dot example", "kra dot fel at mon dot example", "email"), ("We live at Flat 3B, 2nd Floor, Kraven Apartments, 12 Kraven Road, Montis 123456.", "Flat 3B, 2nd Floor, Kraven Apartments, 12 Kraven Road, Montis 123456", "address"),
+        ("Post: B-204, Green Residency, 5 Kraven Road, Boufel 500001", "B-204, Green Residency, 5 Kraven Road, Boufel 500001", "address"), ("code 1 2 3 4 5 6", "1 2 3 4 5 6", "otp"),
+    ],
+)
+def test_further_writings(text, value, category):
+    assert (value, category) in {(text[c.start : c.end], x) for c in P.candidates(text) for x in c.categories}
+
+
+def test_no_text_is_judged_by_its_own_labels(spark):
+    rows = [(f"q{i}", f"The number {i:04d} is on page 7.", [], None, None, None) for i in range(60)]
+    odd = ("odd", "The number 1234 is on page 7.", ["otp"], None, None, None)
+    got = P.personal_information(spark.createDataFrame([*rows, odd], SCHEMA)).collect()
+    assert got == []
+
+
 def test_long_text_and_empty_table(spark):
     text = "word " * 40_000 + "The OTP is 123456." + " 9" * 5000
     rows, _ = made(3, 100)
@@ -91,4 +112,5 @@ def test_long_text_and_empty_table(spark):
 
 
 def test_overlaps_are_settled():
+    assert P.settle([(0, 15, "phone", 0.6), (1, 15, "phone", 0.9)]) == [(0, 15, "phone", 0.6)]
     assert P.settle([(5, 11, "otp", 0.9), (0, 30, "address", 0.6), (40, 52, "account", 0.6), (40, 52, "aadhaar", 0.9)]) == [(0, 30, "address", 0.6), (40, 52, "aadhaar", 0.9)]
