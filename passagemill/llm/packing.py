@@ -1,13 +1,15 @@
 """Filling containers of fixed capacity with items of varying length.
 
-Harmonic packing: an item of length s belongs to the class k = capacity // s, and a container opened for the class takes
-exactly k of its items. Plain harmonic packing leaves the rest of the container empty; here the room that is left is a
-smaller container to which the same rule is applied again (the longest length that still fits, as many of it as fit),
-until nothing fits. How many containers of each composition there are is planned on the histogram of lengths, which has
-at most ``capacity`` entries, so the plan does not depend on the order of the items.
+Harmonic packing: lengths are divided into classes by reciprocals of the capacity, class k being those of which k fit
+but not k + 1 of its longest (capacity / (k + 1) < length <= capacity / k). A container is opened for a class and takes
+exactly k of its items, whichever they are; the class's last container takes those that are left. Plain harmonic packing
+leaves the rest of the container empty; here the room that is left is given to smaller classes, longest lengths first.
+How many containers of each composition there are is planned on the histogram of lengths, which has at most ``capacity``
+entries, so the plan does not depend on the order of the items.
 
 Items are dealt by hash into shards of bounded expected size, and every shard is packed on its own by one task, with
-ids and lengths only. The last containers of a shard may stay part empty, a few among thousands.
+ids and lengths only. Rows that repeat are counted first and dealt out one by one, so no id is a hot key, and the result
+is the same however the input was divided. The last containers of a shard may stay part empty, a few among thousands.
 
 Defined results: an item longer than the capacity is cut into full containers and one rest, which is packed as any
 item; an item of length 0 (null or empty text) has one row without a container; each row of the input is packed, also
@@ -40,10 +42,18 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int
         return at_most
 
     out = []
-    top = capacity
-    while (top := longest(top)) > 0:
-        parts, room, size = [], capacity, top
-        while room > 0 and size > 0:
+    while (top := longest(capacity)) > 0:
+        k = capacity // top
+        least = capacity // (k + 1)  # lengths over it are of the class
+        parts, room, size, wanted = [], capacity, top, k
+        while size > least and wanted:  # k items of the class
+            n = min(wanted, int(left[size]))
+            parts.append((size, n))
+            room -= n * size
+            wanted -= n
+            size = longest(size - 1)
+        size = longest(min(least, room))
+        while room > 0 and size > 0:  # what is left goes to smaller classes
             n = min(room // size, int(left[size]))
             parts.append((size, n))
             room -= n * size
@@ -78,12 +88,14 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 def pack_items(items: DataFrame, item: str = "doc_id", length: str = "n_tokens", capacity: int = CAPACITY, shard: int = SHARD, n_items: int | None = None) -> DataFrame:
     """(item, piece_no, token_start, n_tokens, container_id) of every item; ``n_items`` saves a count."""
     shards = max(1, -(-(items.count() if n_items is None else n_items) // shard))
-    sized = items.select(item, F.col(length).cast("long").alias("_length"))
-    dealt = sized.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    alike = items.groupBy(F.col(item), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_length")).agg(F.count("*").alias("_n"))
+    sized = alike.select(item, "_length", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+    dealt = sized.withColumn("_shard", F.pmod(F.xxhash64(item, "_length", "_copy"), F.lit(shards)))
     schema = T.StructType([items.schema[item], *T.StructType.fromDDL("piece_no int, token_start long, n_tokens long, container_id long")])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["_length"].fillna(0).to_numpy().astype(np.int64)
+        pdf = pdf.sort_values([item, "_length", "_copy"], kind="stable")
+        n = pdf["_length"].to_numpy().astype(np.int64)
         pieces = np.maximum(-(-n // capacity), 1)
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -97,3 +109,22 @@ def pack_items(items: DataFrame, item: str = "doc_id", length: str = "n_tokens",
         return pd.DataFrame({item: pdf[item].to_numpy()[row], "piece_no": piece.astype(np.int32), "token_start": start, "n_tokens": size, "container_id": ids})
 
     return dealt.groupBy("_shard").applyInPandas(fill, schema)
+
+
+def audit(items: DataFrame, packed: DataFrame, item: str = "doc_id", length: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_items, and how many containers hold too much, items lack tokens or have too many, or are cut in vain."""
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("container_id").isNotNull() & (F.col("n") > capacity))
+    # both sides are summed by id before they meet
+    needs = F.sum(F.greatest(F.ceil(F.coalesce(length, F.lit(0)) / capacity), F.lit(1))).alias("_pieces")
+    whole = items.groupBy(item).agg(F.sum(F.coalesce(length, F.lit(0))).alias("_tokens"), needs, F.count("*").alias("_rows"))
+    got = packed.groupBy(F.col(item).alias("_item")).agg(F.sum("n_tokens").alias("_packed"), F.count("*").alias("_got"))
+    both = whole.join(got, F.col(item).eqNullSafe(F.col("_item")), "left")
+    counts = both.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_items"),
+        F.count_if(~F.col("_packed").eqNullSafe(F.col("_tokens"))).alias("n_wrong_tokens"),
+        F.count_if(F.col("_got") > F.col("_pieces")).alias("n_cut_in_vain"),
+        F.lit(0).cast("long").alias("n_overfull"),
+    )
+    zero = [F.lit(0).cast("long").alias(c) for c in counts.columns[:-1]]
+    parts = counts.union(full.agg(F.count("*").alias("n_overfull")).select(*zero, "n_overfull"))
+    return parts.agg(*(F.sum(c).alias(c) for c in counts.columns))

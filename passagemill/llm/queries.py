@@ -100,6 +100,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(encode.count_tokens(documents, ["doc_id"]), n_items=documents.count())
 
 
+def p8_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether containers keep to their capacity and documents come out whole."""
+    counted = encode.count_tokens(table(spark, folder, "documents"), ["doc_id"])
+    return packing.audit(counted, p8_containers(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold template residue, stand-in copy, error messages or script notices in place of content."""
     return template_residue.residue(table(spark, folder, "documents")).select("doc_id")
@@ -117,4 +123,4 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(row, "threshold double, sentences double, positives double, precision double, recall double")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, doc_near_pairs, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_scores, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, doc_near_pairs, p6_found, p6_neighbours, p7_ids, p8_containers, p8_audit, p9_found, p9_scores, p9_quality)}

@@ -105,3 +105,23 @@ def test_packing_operator(spark):
     assert sorted(r.n_tokens for r in got if r.doc_id == 5) == [10, 10, 10]
     assert sorted((r.piece_no, r.token_start) for r in got if r.doc_id == 4) == [(0, 0), (0, 0), (1, 10), (1, 10), (2, 20), (2, 20)]
     assert packing.pack_items(df.limit(0)).count() == 0
+
+
+def test_containers_take_a_fixed_count_of_their_class():
+    rng = np.random.default_rng(4)
+    lengths = np.r_[rng.integers(1, 513, 3000), np.full(500, 171), np.full(300, 256)]
+    container, n = packing.pack(lengths, 512)
+    fewer: dict[int, int] = {}
+    for c in range(n):
+        own = lengths[container == c]
+        k = 512 // own.max()
+        fewer[k] = fewer.get(k, 0) + ((512 // own == k).sum() != k)
+    assert max(fewer.values()) <= 1  # the last container of a class
+
+
+def test_packing_does_not_depend_on_the_division(spark):
+    rows = [(i % 700, i % 90, "extra") for i in range(2000)] + [(5, 30, None)] * 400 + [(None, 12, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, _n string")
+    one, other = ({tuple(r): 0 for r in packing.pack_items(d, capacity=64, shard=300).collect()} for d in (df.repartition(1), df.orderBy(F.rand(3)).repartition(7)))
+    assert one == other
+    assert packing.audit(df, packing.pack_items(df, capacity=64, shard=300), capacity=64).first().asDict() == {"n_items": len(rows), "n_wrong_tokens": 0, "n_cut_in_vain": 0, "n_overfull": 0}
