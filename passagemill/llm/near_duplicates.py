@@ -37,6 +37,8 @@ LEVELS, DEEPEST = 4, 48
 #: Levels that a task adds at most before it compares all that is left of a node. Sets that are all alike don't part and
 #: would only be multiplied by further levels.
 INNER = 5
+#: Copies of a block of a class.
+COPIES = 2_048
 #: Pairs that a task holds before it hands them on.
 HELD = 100_000
 #: Bits of a sketch, two machine words, and how many must agree: five deviations under the mean at the threshold.
@@ -298,11 +300,21 @@ def near_duplicate_pairs(links: DataFrame, members: DataFrame, item: str) -> Dat
     """All pairs of items, (item_a, item_b) with item_a < item_b, of linked texts and of copies."""
     a, b = (members.select(F.col("rep").alias(f"rep_{x}"), F.col(item).alias(x)) for x in "ab")
     linked = links.join(a, "rep_a").join(b, "rep_b")
-    copies = a.join(b, F.col("rep_a") == F.col("rep_b")).where(F.col("a") < F.col("b"))
-    both = linked.select("a", "b").union(copies.select("a", "b"))
+    both = linked.select("a", "b").union(_copies(members, item))
     return both.select(F.least("a", "b").alias(f"{item}_a"), F.greatest("a", "b").alias(f"{item}_b")).distinct()
 
 
+def _copies(members: DataFrame, item: str) -> DataFrame:
+    """Pairs (a, b), a < b, of one class. Large classes are divided into blocks, whose pairs go to different tasks."""
+    blocks = members.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    own = F.pmod(F.xxhash64(item, F.lit(3)), F.col("blocks")).cast("int")
+    met = members.join(blocks, "rep").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("rep", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col(item).alias("id"))
+    a, b = (met.select("rep", "low", "high", F.col("block").alias(f"block_{x}"), F.col("id").alias(x)) for x in "ab")
+    once = (F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b"))
+    return a.join(b, ["rep", "low", "high"]).where(once & (F.col("a") < F.col("b"))).select("a", "b")
+
+
 def near_duplicate_classes(links: DataFrame, members: DataFrame, item: str) -> DataFrame:
     """(item, class_id, n_copies, n_links): its class of equal word sets, items in it, and other classes linked to it."""
     ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

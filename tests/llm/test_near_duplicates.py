@@ -80,3 +80,10 @@ def test_pairs_within():
     want = {(0, 1), (0, 2), (1, 2), (4, 5)}
     for most in (1, 2, 100):
         assert {(int(a), int(b)) for i, j in pairs_within(key, most) for a, b in zip(i, j)} == want
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 4)
+    members = spark.createDataFrame([(7, f"c{i:02d}") for i in range(23)] + [(8, "x"), (8, "y"), (9, "z")], "rep long, id string")
+    got = [tuple(r) for r in N._copies(members, "id").collect()]
+    assert len(got) == len(set(got)) == 23 * 22 // 2 + 1 and all(a < b for a, b in got)
