@@ -1,11 +1,12 @@
 """Documents to passages: sections, splits under a size, token budget, numbering.
 
-Sections and numbering are declarative. The splits themselves are recursive and greedy, which no expression can state,
-so they run as one Arrow function per batch of sections.
+Numbering is declarative. Sections are cut and split by Arrow functions over batches: a walk over the lines, and splits
+that are recursive and greedy, which no expression can state.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -20,35 +21,42 @@ SEPARATORS = ("\n\n", "\n", ". ", " ")
 META_LINES = ("Source page:", "Page title:")
 
 
-def sections(docs: DataFrame, key: str = "source_id") -> DataFrame:
-    """``docs`` with a row for each section that has a body: section_no, trail (headings above it) and body."""
-    line = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("_lines") - 1).alias("no"), F.col("_lines").alias("line")))
-    lines = docs.where(F.col("text").isNotNull()).withColumn("_lines", F.split(F.regexp_replace("text", "\r\n", "\n"), "\n"))
-    lines = lines.select(key, line.alias("_l")).select(key, F.col("_l.no").alias("no"), F.col("_l.line").alias("line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))
-    lines = lines.withColumn("level", level).withColumn(
-        "section_no", F.sum((F.col("level") > 0).cast("int")).over(Window.partitionBy(key).orderBy("no"))
-    )
-    kept = F.array_sort(F.collect_list(F.when((F.col("level") == 0) & ~_is_meta(F.col("line")), F.struct("no", "line"))))
-    grouped = lines.groupBy(key, "section_no").agg(
-        F.trim(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("body"),
-        F.max(F.when(F.col("level") > 0, F.struct("level", F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")).alias("title")))).alias("heading"),
-    )
-    above = F.collect_list("heading").over(Window.partitionBy(key).orderBy("section_no"))
-    none = F.array().cast("array<string>")
-    trail = F.aggregate(above, none, lambda acc, h: F.concat(F.slice(acc, F.lit(1), F.least(h["level"] - 1, F.size(acc))), F.array(h["title"])))
-    return (
-        grouped.withColumn("trail", trail)
-        .where(~F.regexp_replace("body", r"\s", "").eqNullSafe(""))
-        .select(key, "section_no", "trail", F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
-    )
+_SPACE = " \t\n\x0b\f\r"
+_HEADING = re.compile(rf"(#{{1,6}})[{_SPACE}]+(?=[^{_SPACE}])")
+
+
+def section_parts(text: str) -> list[tuple[int, list[str], str]]:
+    """(section_no, trail, body) of the sections of a text that have a body, in order."""
+    out: list[tuple[int, list[str], str]] = []
+    no, trail, lines = 0, [], []
+    for line in [*text.replace("\r\n", "\n").split("\n"), None]:
+        m = None if line is None else _HEADING.match(line)
+        if line is None or m:
+            body = "\n".join(lines).strip(_SPACE)
+            if body:
+                out.append((no, trail, body))
+            if m:
+                no, trail, lines = no + 1, [*trail[: len(m[1]) - 1], line[m.end() :].strip(" ")], []
+        elif not line.startswith(META_LINES):
+            lines.append(line)
+    return out
 
 
-def _is_meta(line: Column) -> Column:
-    out = F.lit(False)
-    for m in META_LINES:
-        out = out | line.startswith(m)
-    return out
+_SECTION = T.StructType([T.StructField("section_no", T.LongType()), T.StructField("trail", T.ArrayType(T.StringType())), T.StructField("body", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_SECTION))
+def _sections(text: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("section_no", "trail", "body"), s)) for s in section_parts(t)] for t in text])
+
+
+def sections(docs: DataFrame, key: str = "source_id") -> DataFrame:
+    """A row for each section of ``docs`` that has a body: section_no, trail (headings above it) and body.
+
+    A document is walked through where it lies; nothing is shuffled.
+    """
+    each = docs.where(F.col("text").isNotNull()).select(key, F.explode(_sections("text")).alias("_s"))
+    return each.select(key, "_s.section_no", "_s.trail", "_s.body")
 
 
 def heading_trail(*parts: Column) -> Column:
@@ -102,8 +110,6 @@ def pack_with_overlap(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 def _sentences(text: str) -> list[str]:
-    import re
-
     guard = re.compile(r"\b(" + "|".join(X.ABBREVIATIONS) + r")\.$", re.I)
     out: list[str] = []
     for piece in filter(None, (p.strip() for p in re.split(X._BREAK, text))):

@@ -100,6 +100,12 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int, same: str | None = None
     return part.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _greedy(rows: Column, threshold: float) -> Column:
+    """An array of rows with tokens, without those too similar to an earlier one that was kept."""
+    none = F.filter(rows, lambda _: F.lit(False))
+    return F.aggregate(rows, none, lambda acc, c: F.when(F.exists(acc, lambda k: X.jaccard(k["tokens"], c["tokens"]) > threshold), acc).otherwise(F.concat(acc, F.array(c))))
+
+
 def greedy_dedupe(hits: DataFrame, threshold: float, key: str = "query_id") -> DataFrame:
     """Hits in order of score, without those too similar to one that was kept; ``text`` is compared by its tokens.
 
@@ -107,9 +113,7 @@ def greedy_dedupe(hits: DataFrame, threshold: float, key: str = "query_id") -> D
     """
     row = F.struct((-F.col("score")).alias("order"), "row_id", X.token_set(F.col("text")).alias("tokens"))
     listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    none = F.filter("all", lambda _: F.lit(False))
-    kept = F.aggregate("all", none, lambda acc, c: F.when(F.exists(acc, lambda k: X.jaccard(k["tokens"], c["tokens"]) > threshold), acc).otherwise(F.concat(acc, F.array(c))))
-    return hits.join(listed.select(key, F.explode(F.transform(kept, lambda k: k["row_id"])).alias("row_id")), [key, "row_id"], "left_semi")
+    return hits.join(listed.select(key, F.explode(F.transform(_greedy(F.col("all"), threshold), lambda k: k["row_id"])).alias("row_id")), [key, "row_id"], "left_semi")
 
 
 def within_budget(hits: DataFrame, budget: int, key: str = "query_id", order: tuple = ("rank",)) -> DataFrame:
@@ -124,23 +128,20 @@ def guarded(hits: DataFrame, floor: float | None = None, top_k: int | None = Non
     the counters fetched, kept, filtered, deduped, truncated and dropped. A query without any hit left keeps its row."""
     floor, top_k = setting("retrieval.score_floor") if floor is None else floor, top_k or setting("retrieval.top_k")
     dedupe, budget = setting("retrieval.dedupe_jaccard") if dedupe is None else dedupe, budget or setting("retrieval.max_context_tokens")
-    above = hits.where(F.col("score") >= floor)
-    distinct = greedy_dedupe(above, dedupe)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    cut = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    kept = within_budget(cut, budget)
-    final = kept.withColumn("rank", F.row_number().over(order))
-    n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    counts = n(hits, "fetched")
-    for df, name in ((above, "above"), (distinct, "distinct"), (cut, "cut"), (final, "kept")):
-        counts = counts.join(n(df, name), "query_id", "left")
-    c = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return final, counts.select(
+    row = F.struct((-F.col("score")).alias("order"), "row_id", X.token_set(F.col("text")).alias("tokens"), X.token_estimate(F.col("text")).alias("cost"))
+    # one list for each query, as long as one search has results
+    listed = hits.groupBy("query_id").agg(F.count("*").alias("fetched"), F.array_sort(F.collect_list(F.when(F.col("score") >= floor, row))).alias("above"))
+    listed = listed.withColumn("distinct", _greedy(F.col("above"), dedupe)).withColumn("cut", F.slice("distinct", 1, top_k))
+    spent = lambda i: F.aggregate(F.slice("cut", F.lit(1), i + 1), F.lit(0).cast("long"), lambda acc, x: acc + x["cost"])
+    listed = listed.withColumn("final", F.filter("cut", lambda _, i: (i == 0) | (spent(i) <= budget)))
+    final = hits.drop("rank").join(listed.select("query_id", F.posexplode("final").alias("_no", "_hit")).select("query_id", F.col("_hit.row_id").alias("row_id"), (F.col("_no") + 1).alias("rank")), ["query_id", "row_id"])
+    n = lambda c: F.size(c).cast("long")
+    return final.select(*hits.columns), listed.select(
         "query_id",
         "fetched",
-        c("kept").alias("kept"),
-        (F.col("fetched") - c("above")).alias("filtered"),
-        (c("above") - c("distinct")).alias("deduped"),
-        (c("distinct") - c("kept")).alias("truncated"),
-        (F.col("fetched") - c("above") + c("distinct") - c("kept")).alias("dropped"),
+        n("final").alias("kept"),
+        (F.col("fetched") - n("above")).alias("filtered"),
+        (n("above") - n("distinct")).alias("deduped"),
+        (n("distinct") - n("final")).alias("truncated"),
+        (F.col("fetched") - n("above") + n("distinct") - n("final")).alias("dropped"),
     )

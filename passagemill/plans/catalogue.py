@@ -37,11 +37,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.snapshot_changes(states)
 
 
-def _current(spark: SparkSession, folder: str, keep: list[str]) -> DataFrame:
-    """Current rows of the last snapshot of ``chunk``."""
+def _current(spark: SparkSession, folder: str, keep: list[str], only: DataFrame | None = None) -> DataFrame:
+    """Current rows of the last snapshot of ``chunk``; with ``only``, of these chunk_ids."""
     chunk = table(spark, folder, "chunk")
     last = chunk.agg(F.max("snapshot_no").alias("snapshot_no"))
     rows = chunk.join(F.broadcast(last), "snapshot_no", "left_semi")
+    if only is not None:
+        rows = rows.join(only.select("chunk_id"), "chunk_id", "left_semi")
     return snapshots.latest_rows(rows, ["chunk_id"], F.try_to_timestamp("fetched_at"), keep)
 
 
@@ -171,9 +173,11 @@ def doc_similarity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Token similarity of each document with the next one of its source."""
     from pyspark.sql import Window
 
-    d = table(spark, folder, "documents").where("source is not null").select("source", "doc_id", X.token_set(F.col("text")).alias("tokens"))
-    after = Window.partitionBy("source").orderBy("doc_id")
-    d = d.withColumn("next_id", F.lead("doc_id").over(after)).withColumn("next_tokens", F.lead("tokens").over(after)).where("next_id is not null")
+    d = table(spark, folder, "documents").where("source is not null")
+    tokens = d.select("doc_id", X.token_set(F.col("text")).alias("tokens"))
+    # ids are put in order alone; the tokens of both come to the pair
+    after = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_id")).where("next_id is not null")
+    d = after.join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("next_id"), F.col("tokens").alias("next_tokens")), "next_id")
     return d.select("doc_id", "next_id", F.round(X.jaccard(F.col("tokens"), F.col("next_tokens")), 6).alias("similarity"))
 
 
@@ -353,7 +357,7 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
     """Past searches with the texts that they found: query_id, row_id, score, rank, text, url, source_id, fetched_at."""
     r = table(spark, folder, "retrieved_chunk").where("score is not null")
     best = r.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"))
-    c = _current(spark, folder, ["text", "url", "source_id", "fetched_at"]).where("text is not null")
+    c = _current(spark, folder, ["text", "url", "source_id", "fetched_at"], best).where("text is not null")
     return best.join(c, "chunk_id").select(F.col("question_id").alias("query_id"), F.col("chunk_id").alias("row_id"), F.round("score", 6).alias("score"), "text", "url", "source_id", "fetched_at")
 
 

@@ -60,6 +60,6 @@ REPLIES = [
     ("broken", "no json here", _HITS),
 ]
 GRID = [
-    (0, "recursive", 400, 0.9, 200, 300.0, 200, False), (1, "recursive", 600, 1.0, 146, 490.0, 253, False), (2, "heading_bound", 600, 1.0, 146, 490.0, 253, False),
+    (0, "recursive", 400, 0.9, 200, 300.0, 200, False), (1, "recursive", 600, 1.0, 152, 480.5, 249, False), (2, "heading_bound", 600, 1.0, 152, 480.5, 249, False),
     (3, "semantic", 400, 0.9, 120, 350.0, 250, False), (4, "semantic", 600, 1.0, 100, 600.0, 300, False), (5, "recursive", 1000, 1.0, 90, 800.0, 250, True),
 ]

@@ -60,7 +60,7 @@ def test_waits_between_errors():
 def test_reports(spark):
     g = spark.createDataFrame(GRID, "cell_no int, strategy string, size int, recall_at_5 double, n_chunks int, mean_chars double, max_tokens int, skipped boolean")
     text = reports.grid(g, E.grid_winner(g))
-    assert "| 5 | 1 |" in text and text.rstrip().endswith("| 1 | recursive | 600 | 1.0 | 146 | 490.0 | 253 | False |")
+    assert "| 5 | 1 |" in text and text.rstrip().endswith("| 1 | recursive | 600 | 1.0 | 152 | 480.5 | 249 | False |")
     assert reports.markdown(g, 2).rstrip().endswith("(more than 2 rows)")
     assert reports.write_back("a:\n  size: 400  # chars\n  name: x\n", {"size": 600, "name": "y"}) == "a:\n  size: 600  # chars\n  name: y\n"
     with pytest.raises(KeyError):
