@@ -69,6 +69,11 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(*found, "chunk_id").unionByName(near_duplicates.classes_without_words(passages, "chunk_id"))
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without the hash value that names a class."""
+    return p5_classes(spark, folder).drop("class_id")
+
+
 def doc_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that say nearly the same, wherever they are from."""
     found = near_duplicates.near_duplicates(table(spark, folder, "documents"), "doc_id")
@@ -86,7 +91,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The most similar other chunks of each chunk, with score and rank."""
-    return _neighbours(spark, folder)
+    return _neighbours(spark, folder).withColumn("score", F.round("score", 6))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,4 +128,4 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(row, "threshold double, sentences double, positives double, precision double, recall double")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, doc_near_pairs, p6_found, p6_neighbours, p7_ids, p8_containers, p8_audit, p9_found, p9_scores, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_sanitised, p2_token_budget, p2_document_tokens, p3_found, p3_pieces, p5_found, p5_classes, p5_links, doc_near_pairs, p6_found, p6_neighbours, p7_ids, p8_containers, p8_audit, p9_found, p9_scores, p9_quality)}

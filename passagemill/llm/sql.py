@@ -47,4 +47,21 @@ SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM k W
 # Tokens can't be counted in SQL, but what holds of every packing can be stated.
 P8_AUDIT = "SELECT count(*) AS n_items, 0 AS n_wrong_tokens, 0 AS n_cut_in_vain, 0 AS n_overfull FROM documents"
 
-SQL = {"p8_audit": P8_AUDIT, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+# Class ids are hash values; what can be stated of each passage is how many copies and linked classes it has.
+P5_LINKS = P5_FOUND.split("p AS (")[0] + """k AS (SELECT chunk_id, list_sort(words) AS words FROM w WHERE len(words) > 0),
+c AS (SELECT words, count(*) AS n_copies FROM k GROUP BY words),
+l AS (
+  SELECT words, count(*) AS n_links
+  FROM (
+    SELECT a.words, len(list_intersect(a.words, b.words)) AS shared, len(a.words) + len(b.words) AS total
+    FROM c a JOIN c b ON a.words <> b.words AND 5 * len(a.words) >= 4 * len(b.words) AND 5 * len(b.words) >= 4 * len(a.words)
+  ) WHERE 5 * shared >= 4 * (total - shared) GROUP BY words
+)
+SELECT chunk_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links FROM cur LEFT JOIN k USING (chunk_id) LEFT JOIN c USING (words) LEFT JOIN l USING (words)
+"""
+
+P6_NEIGHBOURS = P6_FOUND.split("k AS (")[0] + """k AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p)
+SELECT a AS chunk_id, b AS neighbour, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5 AND score >= 0.80
+"""
+
+SQL = {"p5_links": P5_LINKS, "p6_neighbours": P6_NEIGHBOURS, "p8_audit": P8_AUDIT, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
