@@ -36,8 +36,8 @@ K, MIN_SCORE, DIMENSION, HEAD = 5, 0.80, 384, 16
 RECALL = 0.96
 #: Rows on which rotations are learned at most, rounds of learning, and pairs at the floor that are made from the sample.
 SAMPLE, ROUNDS, MADE = 10_000, 8, 4_000
-#: Vectors of a sample of which a fifth is kept apart for those pairs.
-LEAST_APART = 1_000
+#: Vectors of a sample of which a fifth is kept apart for those pairs; of fewer, all are.
+LEAST_APART = 100
 #: Codes that share a value of a substring on average, if values are equally frequent.
 CROWD = 64
 #: Bits of one rotation at most; machine words of code that travel along and are compared.
@@ -56,9 +56,13 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: in
     The principal directions are scaled to equal variance before they are turned: else the few directions that tell the
     large clusters apart rule all bits, the codes of a cluster agree in most parts, and its vectors all meet.
     """
-    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
+    n, dimension = sample.shape
+    if not n:
+        return np.zeros(dimension), np.linalg.qr(np.random.default_rng(seed).normal(size=(dimension, bits)))[0]
+    mean = sample.mean(0)
     centred = sample - mean
-    spread, directions = np.linalg.eigh(centred.T @ centred / max(len(sample), 1))
+    spread, directions = np.linalg.eigh(centred.T @ centred / n)
+    spread = (n * spread + dimension * spread.mean()) / (n + dimension)  # few vectors say little of single directions
     top = directions[:, ::-1][:, :bits] / np.sqrt(np.maximum(spread[::-1][:bits], max(spread[-1], 1e-12) * 1e-3))
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     flat = centred @ top
@@ -126,9 +130,9 @@ def make_plan(sample: np.ndarray, n: int, min_score: float = MIN_SCORE, recall:
     if bits > dimension:
         raise ValueError("more bits than dimensions")
     plan = Plan(width, per_word, WORDS * per_word, np.zeros(dimension), np.zeros((dimension, 0), np.float32), (64, 64 * WORDS), 1.0)
-    # pairs are made from vectors that the rotations have not seen, where there are enough
-    apart = np.arange(len(sample)) % 5 == 0 if len(sample) >= LEAST_APART else np.zeros(len(sample), bool)
-    pairs = at_floor(sample[apart] if apart.any() else sample, min_score, MADE, 7) if len(sample) else []
+    # pairs are made from vectors that the rotations have not seen; of few vectors nothing is learned
+    apart = np.arange(len(sample)) % 5 == 0 if len(sample) >= LEAST_APART else np.ones(len(sample), bool)
+    pairs = at_floor(sample[apart], min_score, MADE, 7) if len(sample) else []
     met = [np.zeros(0, bool) for _ in pairs]
     turns: list[np.ndarray] = []
     while True:
