@@ -93,6 +93,7 @@ def contains_tokens(text: Column, name: Column) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), name, F.lit(" ")))
 
 
+# Fixed value: where a sentence ends.
 _BREAK = r"(?<=[.!?])[\"'\)\]]*\s+(?=[A-Z\"'\(\[])"
 
 

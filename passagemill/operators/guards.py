@@ -126,10 +126,8 @@ def route(question: Column, names: list[str]) -> Column:
     s = lambda kind, label, matched: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), matched.alias("matched"))
     out = F.when(q == "", s("abstain", "empty", F.lit("empty")))
     for kind, label, table in (("refusal", "advice_request", R.ADVICE), ("perf_redirect", "performance_request", R.PERFORMANCE), ("abstain", "out_of_corpus", R.ABSENT)):
-        any_rule = F.lit(False)
-        for p in table.values():
-            any_rule = any_rule | q.rlike(p)
-        out = out.when(any_rule, s(kind, label, first_match(q, table)))
+        for rule, p in table.items():
+            out = out.when(q.rlike(p), s(kind, label, F.lit(rule)))
     out = out.when(unlisted, s("abstain", "out_of_corpus", F.lit("unlisted_scheme")))
     out = out.when(~named & ~q.rlike(R.TOPICS), s("abstain", "out_of_corpus", F.lit("off_topic")))
     return out.otherwise(s("factual", "", F.lit("")))

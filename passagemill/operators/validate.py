@@ -37,11 +37,6 @@ def parse_reply(raw: Column) -> Column:
     return F.from_json(X.first_json_object(raw), "answer string, sources array<string>, refused boolean, reason string")
 
 
-def cited(sources: Column, urls: Column) -> Column:
-    """Cited urls that were retrieved, in the order of the citation, each once."""
-    return F.array_distinct(F.filter(sources, lambda s: F.array_contains(urls, s)))
-
-
 def validated(replies: DataFrame, now: Column | None = None) -> DataFrame:
     """Adds kind, reason, answer, sources, last_updated and steps to replies.
 

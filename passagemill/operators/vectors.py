@@ -79,7 +79,7 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int, same: str | None = None
     id_type = rows.schema["row_id"].dataType.simpleString()
 
     def best(rows_pdf: pd.DataFrame, queries_pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found: tuple[list, list, list] = [], [], []
         if len(rows_pdf) and len(queries_pdf):
             x, y = (np.stack(p["vector"].to_list()).astype(np.float64) for p in (rows_pdf, queries_pdf))
             x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
@@ -92,8 +92,10 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int, same: str | None = None
             for q, s in zip(queries_pdf["query_id"], score):
                 top = by_id[np.argsort(-s[by_id], kind="stable")[:n]]
                 top = top[np.isfinite(s[top])]
-                out.append(pd.DataFrame({"query_id": [q] * len(top), "row_id": ids[top], "score": s[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row_id": [], "score": []})
+                for values, new in zip(found, ([q] * len(top), ids[top].tolist(), s[top].tolist())):
+                    values += new
+        kind = "object" if id_type == "string" else "int64"
+        return pd.DataFrame({"query_id": pd.Series(found[0], dtype=kind), "row_id": pd.Series(found[1], dtype=kind), "score": pd.Series(found[2], dtype="float64")})
 
     part = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(best, f"query_id {id_type}, row_id {id_type}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))

@@ -11,6 +11,7 @@ from passagemill.functions import rules as R, text as X
 from passagemill.operators import evaluate as E, extraction, guards as G, segmentation as S, snapshots, store, sweep, vectors as V
 from passagemill.plans import answer
 from passagemill.plans.fixtures import GRID, PAGES, PROBES, REPLIES
+from passagemill.session import cut_lineage
 from passagemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,6 +445,43 @@ def question_answers(spark: SparkSession, folder: str) -> DataFrame:
     return answer.answers(table(spark, folder, "gold_question").select("id", "question"), hits, sorted({n for _, n in _names(spark, folder)}), F.lit("2026-04-20").cast("timestamp"))
 
 
+@query
+def search_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The six current passages nearest to each gold question by the built-in encoder; where the question names a scheme,
+    among the passages of that scheme only. The filter comes before the cut."""
+    chunks = _current(spark, folder, ["embed_text", "source_id"]).where("embed_text is not null")
+    rows = cut_lineage(chunks.select(F.col("chunk_id").alias("row_id"), "source_id", V.encode("embed_text").alias("vector")))
+    asked = table(spark, folder, "gold_question").where("question is not null")
+    asked = cut_lineage(asked.select(F.col("id").alias("query_id"), G.detect_scheme(F.col("question"), _names(spark, folder)).alias("source_id"), V.encode("question").alias("vector")))
+    within = V.nearest(rows, asked.where("source_id is not null"), 6, same="source_id")
+    return within.unionByName(V.nearest(rows, asked.where("source_id is null"), 6))
+
+
+@query
+def search_question_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the gold questions whose expected source, and whose answer, is among the six passages of that search."""
+    texts = _current(spark, folder, ["text", "source_id"]).select(F.col("chunk_id").alias("row_id"), "text", "source_id")
+    ranked = search_questions(spark, folder).join(texts, "row_id").select(F.col("query_id").alias("question_id"), "rank", "source_id", "text")
+    return E.scores(E.first_hits(table(spark, folder, "gold_question"), ranked))
+
+
+@query
+def chunk_upsert_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages with vectors of the last snapshot upserted over those of the first: source and length of vector."""
+    v = table(spark, folder, "chunk_vector").where("size(embedding) = 384").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+    old = store.with_vectors(_snapshot(spark, folder, 1).select("chunk_id", "source_id"), v)
+    new = store.with_vectors(_current(spark, folder, ["source_id"]), v)
+    return store.upsert(old, new.select(*old.columns)).select("chunk_id", "source_id", F.size("embedding").alias("dimension"))
+
+
+@query
+def question_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks that a model would be given for each question: their number, and the hash of the whole."""
+    hits = V.guarded(_top(spark, folder))[0]
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url", "text"))).alias("hits"))
+    return listed.select(F.col("query_id").alias("id"), F.size("hits").alias("n_blocks"), F.sha2(answer.context("hits"), 256).alias("blocks"))
+
+
 # ---- literal inputs, for what no table holds ----
 
 

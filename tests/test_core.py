@@ -191,10 +191,10 @@ def test_pages(spark):
     got = {r.url.rsplit("/", 1)[1]: r for r in good.collect()}
     assert set(got) == {"full", "bare", "text"} and [r.url for r in bad.collect()] == ["https://pages.example/short"]
     full = got["full"].text
-    for line in ("Lock-in period for Oakmere Growth Fund: 3 years 1 month.", "Riskometer for Oakmere Growth Fund: High.", "Fund managers of Oakmere Growth Fund: Ann Reed, Cy Marsh.", "### Who answers?", "With a form & a signature ."):
+    for line in ("Lock-in of Oakmere Growth Fund: 3 years 1 month.", "Risk level (riskometer) of Oakmere Growth Fund: High.", "Fund management of Oakmere Growth Fund: Ann Reed, Cy Marsh.", "### Who answers?", "With a form & a signature ."):
         assert line in full
     assert "99.9" not in full and "returns" not in full and got["full"].faq.excluded == 1
-    assert "Benchmark for Bare Fund: X." in got["bare"].text and "Lock-in period for Bare Fund: none." in got["bare"].text and "Fund manager of Bare Fund: Di Fox." in got["bare"].text
+    assert "Bare Fund is measured against the benchmark X." in got["bare"].text and "Lock-in of Bare Fund: none." in got["bare"].text and "Fund management of Bare Fund: Di Fox." in got["bare"].text
     with pytest.raises(ValueError, match="short"):
         extraction.require_all(good, bad)
 
