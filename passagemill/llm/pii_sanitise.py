@@ -46,10 +46,15 @@ _SPELLED = regex.compile(rf"{_EDGE}(?:(?:double|triple)\s+)?{_DIGIT_WORD}(?:[\s,
 _BRACKETED = regex.compile(r"(?<![\p{L}\p{N}])\((?:\+?\d{1,3}|0?\d{2,5})\)[\s-]?\d{2,5}(?:[\s.-]?\d{2,5}){1,3}(?!\d)")
 _PLUS = regex.compile(r"(?:\+|(?<![\p{L}\p{N}])00(?=[1-9]))\s?\d{1,3}[\s\xa0.-]?(?:\(\d{1,5}\)[\s-]?)?\d{1,5}(?:[\s\xa0.-]?\d{1,6}){1,9}(?!\d)")
 _GROUPS = regex.compile(r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][.,/-])\d+(?:[  .\-‐-–]\d+)*(?![\p{L}\p{N}]|[.,/-]\d)")
-_SPOKEN_AT = regex.compile(r"(?:[\s(\[{])at(?:[\s)\]}])", regex.I)
+# what a text must have to hold a value of a form at all, tried before the form itself
+_SPOKEN_AT = regex.compile(r"[(\[{]\s?at\s?[)\]}]|\sat\s(?s:.*)\sdot\s", regex.I)
+_PAN_END = regex.compile(r"\d{4}[\s.-]?[A-Za-z]")
 _DIGITS = regex.compile(r"\d+")
 _HOUSE = r"(?:(?:flat|house|plot|door|apt|apartment|unit|villa|shop|room|suite|tower|wing|floor|bungalow|quarter|h\.?\s?no|d\.?\s?no|मकान|फ्लैट|प्लॉट)\.?\s*(?:no\.?|number|नंबर)?\s*[:#-]?\s*(?:[\p{L}]?[-/]?\d+[\p{L}\d]*|[A-Z]\b)(?:[/-][\p{L}\d]+)*|\d{1,2}(?:st|nd|rd|th)\s+floor|[A-Z][-/]\d{1,4}(?![\p{L}\p{N}])|#?\d{1,4}[\p{L}]?(?:[/-][\p{L}\d]{1,4}){0,3}(?![\p{L}\p{N}]))"
 _ROAD = r"(?:street|st|road|rd|nagar|marg|lane|ln|layout|cross|gali|avenue|ave|colony|chowk|circle|drive|enclave|vihar|path|bagh|puram|main|block|square|way|boulevard|close|terrace|gardens?)"
+_STREETS = frozenset((*_ROAD[3:-1].replace("gardens?", "garden|gardens").split("|"), "sector", "phase", "ward"))
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_DIGIT_WORDS = frozenset(_DIGIT_WORD[3:-1].split("|"))
 _NO_FIRM = r"(?!\s+(?:partners|capital|bank|trust|funds?|advis[eo]rs|securities|ltd|limited|plc|group|associates|holdings|investments?|index|steel|mills|works)\b)"
 _ADDRESS = regex.compile(
     rf"(?<![\p{{L}}\p{{N}}/.-]){_HOUSE}(?:,?\s+{_HOUSE}){{0,3}},?\s+(?:(?:[\p{{L}}'’-]+\s+){{1,3}}(?:apartments?|heights|towers?|residency|society|villas?|complex|mansion|court|house),\s+(?:{_HOUSE},?\s+)?)?(?:(?:(?!{_ROAD}\b)[\p{{L}}\p{{M}}'’-]+\s+){{1,3}}?{_ROAD}\b\.?{_NO_FIRM}|(?:sector|phase|block|ward)\s+\d+[\p{{L}}]?)"
@@ -154,19 +159,19 @@ def _numbers(text: str) -> Iterator[Candidate]:
 def candidates(text: str) -> list[Candidate]:
     """Places with the form of a value; overlaps are left to the decision."""
     out = [Candidate(m.start(), m.end(), "email@" if "@" in m[0] else "email at", ("email",)) for m in _EMAIL.finditer(text)] if "@" in text or _SPOKEN_AT.search(text) else []
+    words = _LETTERS.findall(text.lower())
     numeric = _DIGITS.search(text) is not None
-    pans = [m for m in _PAN.finditer(text)] if numeric else []
+    pans = [m for m in _PAN.finditer(text)] if (maybe_pan := numeric and _PAN_END.search(text)) else []
     out += [Candidate(m.start(), m.end(), "pan", ("pan",)) for m in pans]
     if numeric:
-        out += [Candidate(m.start(), m.end(), "pan loose", ("pan",)) for m in _PAN_LOOSE.finditer(text) if not any(m.start() < p.end() and p.start() < m.end() for p in pans)]
+        out += [Candidate(m.start(), m.end(), "pan loose", ("pan",)) for m in (_PAN_LOOSE.finditer(text) if maybe_pan else ()) if not any(m.start() < p.end() and p.start() < m.end() for p in pans)]
         out += [Candidate(m.start(), m.end(), "ifsc", ("ifsc",)) for m in _IFSC.finditer(text)]
         out += [Candidate(m.start(), m.end(), "phone +", ("phone",)) for m in _PLUS.finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
         out += [Candidate(m.start(), m.end(), "phone ()", ("phone",)) for m in _BRACKETED.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 13]
         out += _numbers(text)
-        out += [Candidate(m.start(), m.end(), "address", ("address",)) for m in _ADDRESS.finditer(text)]
-    for m in _SPELLED.finditer(text):
-        words = regex.findall(r"[\p{L}\p{M}]+", m[0].lower())
-        n = sum({"double": 1, "triple": 2}.get(w, 1) for w in words)
+        out += [Candidate(m.start(), m.end(), "address", ("address",)) for m in (_ADDRESS.finditer(text) if not _STREETS.isdisjoint(words) else ())]
+    for m in _SPELLED.finditer(text) if sum(w in _DIGIT_WORDS for w in words) > 3 else ():
+        n = sum({"double": 1, "triple": 2}.get(w, 1) for w in _LETTERS.findall(m[0].lower()))
         categories = _digit_categories([n], "", "9") or (("account",) if 9 <= n <= 18 else ())
         if categories:
             out.append(Candidate(m.start(), m.end(), f"spelled {n}", categories))
