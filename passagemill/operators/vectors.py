@@ -133,17 +133,26 @@ def guarded(hits: DataFrame, floor: float | None = None, top_k: int | None = Non
     row = F.struct((-F.col("score")).alias("order"), "row_id", X.token_set(F.col("text")).alias("tokens"), X.token_estimate(F.col("text")).alias("cost"))
     # one list for each query, as long as one search has results
     listed = hits.groupBy("query_id").agg(F.count("*").alias("fetched"), F.array_sort(F.collect_list(F.when(F.col("score") >= floor, row))).alias("above"))
-    listed = listed.withColumn("distinct", _greedy(F.col("above"), dedupe)).withColumn("cut", F.slice("distinct", 1, top_k))
-    spent = lambda i: F.aggregate(F.slice("cut", F.lit(1), i + 1), F.lit(0).cast("long"), lambda acc, x: acc + x["cost"])
-    listed = listed.withColumn("final", F.filter("cut", lambda _, i: (i == 0) | (spent(i) <= budget)))
-    final = hits.drop("rank").join(listed.select("query_id", F.posexplode("final").alias("_no", "_hit")).select("query_id", F.col("_hit.row_id").alias("row_id"), (F.col("_no") + 1).alias("rank")), ["query_id", "row_id"])
+    start = F.struct(F.filter("above", lambda _: F.lit(False)).alias("kept"), F.lit(0).cast("long").alias("spent"), F.transform(F.filter("above", lambda _: F.lit(False)), lambda r: r["row_id"]).alias("final"))
+
+    def take(acc: Column, c: Column) -> Column:
+        n, spent = F.size(acc["kept"]), acc["spent"] + c["cost"]
+        fits = (n < top_k) & ((n == 0) | (spent <= budget))
+        more = F.struct(F.concat(acc["kept"], F.array(c)).alias("kept"), spent.alias("spent"), F.when(fits, F.concat(acc["final"], F.array(c["row_id"]))).otherwise(acc["final"]).alias("final"))
+        return F.when(F.exists(acc["kept"], lambda k: X.jaccard(k["tokens"], c["tokens"]) > dedupe), acc).otherwise(more)
+
+    # exploded so that the fold is evaluated once, whatever is made of its result
+    folded = F.explode(F.array(F.aggregate("above", start, take))).alias("_r")
+    listed = listed.select("query_id", "fetched", F.size("above").cast("long").alias("above"), folded)
+    places = listed.select("query_id", F.posexplode("_r.final").alias("_no", "row_id")).select("query_id", "row_id", (F.col("_no") + 1).alias("rank"))
+    final = hits.drop("rank").join(places, ["query_id", "row_id"]).select(*hits.columns)
     n = lambda c: F.size(c).cast("long")
-    return final.select(*hits.columns), listed.select(
+    return final, listed.select(
         "query_id",
         "fetched",
-        n("final").alias("kept"),
-        (F.col("fetched") - n("above")).alias("filtered"),
-        (n("above") - n("distinct")).alias("deduped"),
-        (n("distinct") - n("final")).alias("truncated"),
-        (F.col("fetched") - n("above") + n("distinct") - n("final")).alias("dropped"),
+        n("_r.final").alias("kept"),
+        (F.col("fetched") - F.col("above")).alias("filtered"),
+        (F.col("above") - n("_r.kept")).alias("deduped"),
+        (n("_r.kept") - n("_r.final")).alias("truncated"),
+        (F.col("fetched") - F.col("above") + n("_r.kept") - n("_r.final")).alias("dropped"),
     )
